@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.lexicon import Encoder, Lexicon, compile_lexicon, read_ranks, split_words
-from tidemark.session import put_shared
+from tidemark.session import put_shared, stage
 
 #: Folder of the public vocabularies on every machine.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -60,7 +60,16 @@ def build_lexicon(documents: DataFrame, text: str = "text", vocabulary: str = f"
     """
     spark = documents.sparkSession
     # words beyond 64 characters are rare and would only widen the automaton: merged exactly instead
-    top = word_counts(documents, text).where("n > 1 and length(word) <= 64").orderBy(F.desc("n"), "word").limit(lexicon_words)
+    counts = stage(word_counts(documents, text).where("n > 1 and length(word) <= 64"), "words")
+    # at most 64 * 16 classes of frequency; the widest range of whole classes that fits is taken
+    level = F.floor(F.log2("n") * 16)
+    sizes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()
+    held, least = 0, None
+    for r in sizes:
+        if (held := held + r.words) > lexicon_words:
+            break
+        least = r.level
+    top = counts.where(level >= least) if least is not None else counts.limit(0)
     data = compile_lexicon((r.word for r in top.select("word").collect()), read_ranks(vocabulary))
     uri = put_shared(spark, "lexicon", data)
     spark.sparkContext.addFile(uri)
