@@ -47,7 +47,7 @@ def _message(column: str) -> F.Column:
     return F.substring_index(column, ATTACHMENT, 1)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _patch(old: pd.Series, touched: pd.Series, dead: pd.Series) -> pd.Series:
     """Bits of ``old`` outside ``touched``, those of ``dead`` inside."""
 
