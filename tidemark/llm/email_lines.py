@@ -158,7 +158,8 @@ def new_lines(text: str, inherited: set[int] = frozenset(), boilerplate: set[int
     first = next((i for i in range(n) if not blank[i]), n)
     # signatures end the message or stand right before a quotation
     stops = [i for i in range(1, n + 1) if (i == n or quoted[i]) and not quoted[i - 1]]
-    stops = [s for s in stops if s == n or not marked[s] or s == end] + [n]
+    outset = next((i for i in range(n) if quoted[i]), n)  # inline answers further down have no signature of their own
+    stops = [s for s in stops if s == n or not marked[s] or s in (end, outset)] + [n]
     for stop in sorted({min(s, n) for s in stops} | {end}):
         i, begin = stop - 1, stop
         while i >= 0 and not quoted[i]:

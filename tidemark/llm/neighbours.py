@@ -159,7 +159,7 @@ def _search(dim: int, k: int, min_cosine: float, margin: float):
     return run
 
 
-def nearest_pairs(rows: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5, min_cosine: float = 0.9, factor: float = 0.12, shard_rows: int = 1024, sample_rows: int = 65_536) -> DataFrame:
+def nearest_pairs(rows: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5, min_cosine: float = 0.9, factor: float = 0.11, shard_rows: int = 1024, sample_rows: int = 65_536) -> DataFrame:
     """(a, b, cosine), a < b: pairs of ids at or above ``min_cosine`` of which one is among the ``k``
     nearest of the other. At most ``sample_rows`` codes (64 bytes each) and a tree of as many bytes
     reach the driver and are broadcast, whatever the table holds."""

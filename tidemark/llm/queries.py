@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import email_lines, mixing, near_duplicates, neighbours, tokenizing
+from tidemark.llm import email_lines, mixing, near_duplicates, neighbours, pii, tokenizing
 
 QUERIES = {
     "p3_found": near_duplicates.p3_found,
     "p3_classes": near_duplicates.p3_classes,
     "p4_found": neighbours.p4_found,
     "p5_found": email_lines.p5_found,
+    "p6_found": pii.p6_found,
     "p7_ids": tokenizing.p7_ids,
     "p8_mix": mixing.p8_mix,
     "p8_shares": mixing.p8_shares,
