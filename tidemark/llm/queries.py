@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import email_lines, mixing, near_duplicates, neighbours, pii, tokenizing
+from tidemark.llm import email_lines, mixing, near_duplicates, neighbours, pii, subjects, tokenizing
 
 QUERIES = {
     "p3_found": near_duplicates.p3_found,
@@ -10,6 +10,8 @@ QUERIES = {
     "p4_found": neighbours.p4_found,
     "p5_found": email_lines.p5_found,
     "p6_found": pii.p6_found,
+    "p9_found": subjects.p9_found,
+    "p9_makeup": subjects.p9_makeup,
     "p7_ids": tokenizing.p7_ids,
     "p8_mix": mixing.p8_mix,
     "p8_shares": mixing.p8_shares,
