@@ -12,6 +12,7 @@ QUERIES = {
     "p6_found": pii.p6_found,
     "p9_found": subjects.p9_found,
     "p9_makeup": subjects.p9_makeup,
+    "p6_replaced": pii.p6_replaced,
     "p7_ids": tokenizing.p7_ids,
     "p8_mix": mixing.p8_mix,
     "p8_shares": mixing.p8_shares,
