@@ -104,11 +104,14 @@ def simhash64(words: Column) -> Column:
         lambda i: F.transform(halves, lambda h: F.conv(h.substr(i + 1, F.lit(1)), 16, 10).cast("int")),
     )
 
+    def has(bit: int):
+        return lambda v: v.bitwiseAND(bit) != 0
+
     def digit(values: Column) -> Column:
         n = F.size(values)
         value = F.lit(0)
         for bit in (8, 4, 2, 1):
-            on = F.size(F.filter(values, lambda v, b=bit: v.bitwiseAND(b) != 0))
+            on = F.size(F.filter(values, has(bit)))
             value = value + F.when(on * 2 >= n, bit).otherwise(0)
         return F.lower(F.hex(value.cast("int")))
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import changes, hierarchy, indexing
+from tidemark.operators import changes, hierarchy, indexing, lanes
 
-_MODULES = (hierarchy, changes, indexing)
+_MODULES = (hierarchy, changes, indexing, lanes)
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Hybrid search over all four lanes."""
+    return lanes.hybrid_search(spark, sf_dir)
