@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import changes, hierarchy, indexing, lanes
+from tidemark.operators import changes, filters, hierarchy, indexing, lanes, store
 
-_MODULES = (hierarchy, changes, indexing, lanes)
+_MODULES = (hierarchy, changes, indexing, lanes, filters, store)
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
 
