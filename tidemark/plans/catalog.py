@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import changes, filters, hierarchy, indexing, lanes, store
+from tidemark.sources import drive, mail
+from tidemark.streaming import sync
 
-_MODULES = (hierarchy, changes, indexing, lanes, filters, store)
+_MODULES = (hierarchy, changes, indexing, lanes, filters, store, mail, drive, sync)
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
 
