@@ -77,6 +77,10 @@ class ChangeTable:
         """Append the batch and renew the delete vectors of what it touches."""
         b, first = self.batches, self.batches == 0
         pages = last_deliveries(pages)
+        if not first:  # a batch that comes again after a failure adds nothing
+            known = self._read("pages").select(*[F.col(c).alias(f"_{c}") for c in (*PAGE, "received_at", "delivery_id")])
+            same = [F.col(c) == F.col(f"_{c}") for c in PAGE] + [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("received_at", "delivery_id")]
+            pages = pages.join(known, same, "left_anti")
         at = f"{self.root}/%s/b{b}"
         pages.write.parquet(at % "feed")
         feed = self.spark.read.schema(pages.schema).parquet(at % "feed")
