@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -93,21 +95,38 @@ def structure_chunks(text: str, target: int = TARGET, most: int = WINDOW) -> Ite
             held.append(piece)
 
 
+class Fingerprints(dict):
+    """Signs of the 64 leading digest bits of each token met; sums of them make a SimHash."""
+
+    def __missing__(self, token: str) -> np.ndarray:
+        if len(self) > 200_000:
+            self.clear()
+        bits = np.unpackbits(np.frombuffer(hashlib.sha256(token.encode("utf-8", "surrogatepass")).digest()[:8], dtype=np.uint8))
+        self[token] = signs = bits.astype(np.int16) * 2 - 1
+        return signs
+
+    def simhash(self, tokens: list[str]) -> int:
+        """Bitwise majority as a signed number; a tie sets the bit."""
+        total = np.sum([self[t] for t in tokens], axis=0) if tokens else np.zeros(64)
+        return int.from_bytes(np.packbits(total >= 0).tobytes(), "big", signed=True)
+
+
 def chunk_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, position, heading_path, content, start_offset, end_offset, token_count) before deduplication."""
+    """(doc_id, position, heading_path, content, start_offset, end_offset, token_count, simhash) before deduplication."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints = Fingerprints()
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for n, (path, a, b, size) in enumerate(structure_chunks(text) if text else ()):
                     if size:
-                        rows.append((doc, n, path, text[a:b].strip(), a, b, size))
-            columns = list(zip(*rows)) or [[]] * 7
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "position", "heading_path", "content", "start_offset", "end_offset", "token_count"])
+                        rows.append((doc, n, path, text[a:b].strip(), a, b, size, prints.simhash([t.casefold() for t in _WORD.findall(text, a, b)])))
+            columns = list(zip(*rows)) or [[]] * 8
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "position", "heading_path", "content", "start_offset", "end_offset", "token_count", "simhash"])
 
-    return docs.select("doc_id", X.normalize(F.col("text")).alias("t")).mapInArrow(run, "doc_id long, position int, heading_path array<string>, content string, start_offset int, end_offset int, token_count int")
+    return docs.select("doc_id", X.normalize(F.col("text")).alias("t")).mapInArrow(run, "doc_id long, position int, heading_path array<string>, content string, start_offset int, end_offset int, token_count int, simhash long")
 
 
 def keep_distinct(chunks: DataFrame) -> DataFrame:
@@ -116,7 +135,7 @@ def keep_distinct(chunks: DataFrame) -> DataFrame:
     The kept set is built chunk by chunk, as a near copy is compared with kept chunks only: a fold
     over the chunks of one document.
     """
-    c = chunks.withColumn("hash", F.sha2("content", 256)).withColumn("simhash", X.simhash64(X.tokens(F.col("content"))))
+    c = chunks.withColumn("hash", F.sha2("content", 256))
     first = Window.partitionBy("doc_id", "hash").orderBy("position")
     c = c.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
     rows = c.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("position", "heading_path", "content", "start_offset", "end_offset", "token_count", "hash", "simhash"))).alias("all"))
