@@ -215,7 +215,7 @@ _T = "regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')"
 _U = "(lower(substr({h},1,8))||'-'||substr({h},9,4)||'-5'||substr({h},14,3)||'-'||substr('89ab',1+(position(substr({h},17,1) IN '0123456789abcdef')-1)%4,1)||substr({h},18,3)||'-'||substr({h},21,12))"
 
 
-def _uuid5(namespace: str, name: str) -> str:
+def sql_uuid5(namespace: str, name: str) -> str:
     return _U.format(h=f"sha1(unhex(replace({namespace},'-',''))||encode({name}))")
 
 
@@ -242,14 +242,20 @@ SELECT source_id, chunk_index, chunk_id, hash FROM (
 WITH c AS (SELECT coalesce(array_to_string(heading_path, '/'), '') AS heading, min(chunk_id) AS chunk_id, simhash FROM chunks WHERE simhash IS NOT NULL AND simhash <> 0 GROUP BY 1, 3)
 SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b, CAST(bit_count(xor(a.simhash, b.simhash)) AS INTEGER) AS distance
 FROM c a JOIN c b ON a.heading = b.heading AND a.chunk_id < b.chunk_id WHERE bit_count(xor(a.simhash, b.simhash)) <= 3""",
+    "simhash": f"""
+WITH t AS (SELECT doc_id, unnest({_T.replace('text', 'title', 1)}) AS w FROM documents WHERE title <> ''),
+h AS (SELECT doc_id, ('0x' || substr(sha256(lower(w)), 1, 16))::UBIGINT AS x FROM t),
+b AS (SELECT doc_id, i, sum(CASE WHEN (x >> i) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM h, (SELECT unnest(range(64))::UBIGINT AS i) GROUP BY 1, 2),
+v AS (SELECT doc_id, sum(CASE WHEN s >= 0 THEN (1::HUGEINT << i::INTEGER) ELSE 0 END)::HUGEINT AS v FROM b GROUP BY 1)
+SELECT doc_id, CAST(CASE WHEN v >= 9223372036854775808 THEN v - 18446744073709551616 ELSE v END AS BIGINT) AS simhash FROM v""",
     "embed_hash": f"""
 WITH n AS (SELECT DISTINCT source AS name FROM documents WHERE source IS NOT NULL),
 v AS (SELECT name, CAST(b * 32 + j AS INTEGER) AS i, {_UNIT} AS x FROM n, (SELECT unnest(range(2)) AS b), (SELECT unnest(range(32)) AS j))
 SELECT name, i, round(x / sqrt(sum(x * x) OVER (PARTITION BY name)), 9) AS x FROM v""",
     "uuid5_ids": f"""
-WITH s AS (SELECT doc_id, {_uuid5('connection_id', 'CAST(doc_id AS VARCHAR)')} AS source_id, text FROM documents WHERE connection_id IS NOT NULL AND text IS NOT NULL),
+WITH s AS (SELECT doc_id, {sql_uuid5('connection_id', 'CAST(doc_id AS VARCHAR)')} AS source_id, text FROM documents WHERE connection_id IS NOT NULL AND text IS NOT NULL),
 k AS (SELECT doc_id, source_id, sha256(source_id||'|'||sha256(text)||'|{PARSER}|{CHUNKER}|{MODEL}') AS version_key FROM s)
-SELECT doc_id, source_id, version_key, {_uuid5('source_id', 'version_key')} AS version_id FROM k""",
+SELECT doc_id, source_id, version_key, {sql_uuid5('source_id', 'version_key')} AS version_id FROM k""",
     "source_derivations": """
 SELECT DISTINCT item_id, fetched_at, coalesce(modified_at, fetched_at) AS source_timestamp, CASE WHEN modified_at IS NOT NULL THEN 'modified' ELSE 'fetched' END AS timestamp_kind,
 nullif(lower(regexp_extract(name, '\\.([A-Za-z0-9]{1,16})$', 1)), '') AS extension,
