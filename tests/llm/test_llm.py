@@ -167,6 +167,8 @@ def test_neighbours(spark):
         ("Text.\n\n--\nBob", [1]),
         ("Tout est prêt.\n\nCordialement, Anne", [1]),
         ("Sent from my phone", []),
+        ("Fine.\n\nBob Miller\nC/ Herreros 133, 6.º A, 99457 Valdeoro\n\n--- Passed on by the desk ---\nFrom: A\nTo: B\n\nold", [1]),
+        ("Fine.\n--- Passed on by the desk ---\nreally.", [1, 2, 3]),
         (" \n\n", []),
         ("Hello Bob,", [1]),
     ],

@@ -48,6 +48,8 @@ RULE = re.compile(
     r"|(?:Begin forwarded message|Anfang der weitergeleiteten Nachricht|Début du message (?:réexpédié|transféré)|Inicio del mensaje reenviado|Comienzo del mensaje reenviado)\s?:)\s*$"
 )
 HEADER = re.compile(r"^\s*\*?(From|Sent|Date|To|Cc|Subject|Reply-To|Von|Gesendet|Datum|An|Kopie|Betreff|De|Envoyé|À|Objet|Copie|Enviado|Enviada|Fecha|Para|Asunto|CC) ?:\*? ?")
+#: Any titled rule counts as an introduction right above a header block.
+ANY_RULE = re.compile(r"^\s*-{2,}[^-].*[^-]-{2,}\s*$")
 LONG_RULE = re.compile(r"^\s*[_-]{8,}\s*$")
 # --- fixed values: how people and programs end a mail -----------------------------------------
 CLOSING = re.compile(
@@ -78,11 +80,11 @@ def _short_fact(line: str) -> bool:
         return True
     if re.fullmatch(r"<?[\w.+'-]+@[\w.-]+>?(?:\s*\|.*)?", s) or re.fullmatch(r"(?:[^\W\d_]{1,10}\.?:?\s*)?[+(]?\d[\d\s()./+-]{5,}(?:\s*(?:ext|x|Durchwahl|poste)\.?\s*\d+)?", s):
         return True
-    words = re.findall(r"[^\W\d_]+", s)
+    words = re.findall(r"[^\W\d_ºª]+", s)
     if len(words) > 12 or len(s) > 90 or (re.search(r"[.!?;,:]$", s) and not re.search(r"\b(?:S\.L\.|S\.A\.|Inc\.|Ltd\.|Co\.|e\.V\.)$", s)):
         return False
     plain = [w for w in words if not w[0].isupper() and w.lower() not in _SMALL and not any(c.isdigit() for c in w)]
-    return not plain or bool(re.search(r"\d", s) and len(words) <= 6 and len(plain) <= 2)
+    return not plain or bool(re.search(r"\d", s) and len(words) <= 8 and len(plain) <= 2)
 
 
 def _closing(line: str) -> bool:
@@ -136,6 +138,9 @@ def new_lines(text: str, inherited: set[int] = frozenset(), boilerplate: set[int
             while k < n and HEADER.match(lines[k]):
                 k += 1
             if k - j >= 2 and len({HEADER.match(x).group(1) for x in lines[j:k]}) >= 2:
+                above = next((x for x in range(i - 1, -1, -1) if not blank[x]), None)
+                if above is not None and not marked[above] and ANY_RULE.match(lines[above]):
+                    i = above
                 quoted[i:k] = [True] * (k - i)
                 after = following(k)
                 if after >= n or not marked[after]:
@@ -257,7 +262,9 @@ def known_lines(messages: DataFrame, common: int = 3) -> DataFrame:
     w = earliest.select("thread", "s", "h", tables).select("thread", "s", "h", "p.*")
     near = w.join(w.select("thread", "t", "v", F.col("s").alias("s2"), F.col("h").alias("h2")), ["thread", "t", "v"])
     near = near.where((F.col("s") != F.col("s2")) & (F.bit_count(F.col("h").bitwiseXOR(F.col("h2"))) <= 3)).select("thread", "s", "s2").distinct()
-    near = near.where(F.levenshtein("s", "s2") <= F.greatest(F.length("s"), F.length("s2")) * 0.2)
+    # numbers are no spelling: another reference makes another sentence
+    digits = lambda c: F.regexp_replace(c, r"\D", "")
+    near = near.where((digits("s") == digits("s2")) & (F.levenshtein("s", "s2") <= F.greatest(F.length("s"), F.length("s2")) * 0.2))
     source = earliest.select("thread", "s", F.col("sent_at").alias("e_at"), F.col("message_id").alias("e_id"))
     # each wording with the earliest message that has it or a near wording
     first = source.unionByName(near.join(source.withColumnRenamed("s", "s2"), ["thread", "s2"]).select("thread", "s", "e_at", "e_id"))
