@@ -201,6 +201,7 @@ NAMES = pii.Names({"ann", "mark", "rose", "grace", "will", "may", "ume", "zoë"}
         ("a.b [at] mail.example", [("email", "a.b [at] mail.example")]),
         ("tallow-kit@7.8.04 on 10.65.0.5", []),
         ("ring +49 30 23125 629 or (555) 555-0161 or +44 7700 900626 ext. 03", [("phone", "+49 30 23125 629"), ("phone", "(555) 555-0161"), ("phone", "+44 7700 900626 ext. 03")]),
+        ("on +1555550168 487 of 813 and 00493023125989 12 more", [("phone", "+1555550168"), ("phone", "00493023125989")]),
         ("Order 4745 9840 3789, Invoice 587-95-5117-02 of 2024-07-19, Version 6.87.145.7714", []),
         ("lists passport no. L30519668, NI number QQ 05 23 55 B and SSN 917-06-0326.", [("id_number", "L30519668"), ("id_number", "QQ 05 23 55 B"), ("id_number", "917-06-0326")]),
         ("at 33 Harrow Lane, Flat 6, Thornby TS0 3QU, near", [("street_address", "33 Harrow Lane, Flat 6, Thornby TS0 3QU")]),
