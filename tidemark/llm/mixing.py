@@ -95,8 +95,13 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     smallest = need.agg((F.min("quota") / F.sum("quota")).alias("x")).first().x or 1.0
     spare = int(slots * 1.02) + int(8 / max(smallest, 1e-6)) + 64
     points = spark.range(spare).withColumn("x", ((F.col("id") + 1) * GOLDEN % (1 << 32)) / float(1 << 32)).withColumn("bucket", F.floor(F.col("id") / 65536)) if slots else spark.range(0).withColumn("x", F.lit(0.0)).withColumn("bucket", F.lit(0).cast("long"))
-    # the edges are one row per source of the target table
-    placed = points.join(F.broadcast(edges), (F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi"))).select("source", "blocks", "bucket", F.col("id").alias("slot"))
+    # one entry per source of the target table, looked up in each row instead of joined
+    table_ = F.array(*[F.struct(F.lit(r.source).alias("source"), F.lit(r.blocks).alias("blocks"), F.lit(r.lo).alias("lo"), F.lit(r.hi).alias("hi")) for r in edges.collect()]) if slots else None
+    if slots:
+        hit = F.get(F.filter(table_, lambda e: (F.col("x") >= e["lo"]) & (F.col("x") < e["hi"])), F.lit(0))
+        placed = points.withColumn("hit", hit).where("hit IS NOT NULL").select("hit.source", "hit.blocks", "bucket", F.col("id").alias("slot"))
+    else:
+        placed = points.select(F.lit("").alias("source"), F.lit(0).cast("long").alias("blocks"), "bucket", F.col("id").alias("slot"))
     ranked = running_sum(placed, ["source"], "bucket", [F.col("slot")], F.lit(1), "rank").where("rank < blocks").select("source", "rank", "slot")
     mixed = blocks.join(ranked, ["source", "rank"], "left")
     # a block that found no slot (possible for a tiny source) goes behind the last slot
