@@ -11,17 +11,22 @@ from pyspark.sql import types as T
 
 #: Letters, digits and underscores, or one other visible character.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
-#: Media types besides text/* whose content is already plain text (fixed values).
+#: Media types besides text/* whose content arrives as plain text (fixed values).
 TEXT_MEDIA = (
     "application/json",
-    "application/xml",
+    "application/ld+json",
     "application/pdf",
+    "application/toml",
     "application/vnd.google-apps.document",
-    "application/vnd.google-apps.spreadsheet",
     "application/vnd.google-apps.presentation",
+    "application/vnd.google-apps.spreadsheet",
     "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
-    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
-    "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    "application/xml",
+    "application/x-httpd-php",
+    "application/x-ndjson",
+    "application/x-sh",
+    "application/x-yaml",
+    "application/yaml",
 )
 
 

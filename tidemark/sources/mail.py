@@ -135,7 +135,8 @@ def printable(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, text).mapInArrow(run, f"{key} string, {text} string")
 
 
-_ORIGINAL = r"(?i)^-{2,} ?original message ?-{2,}$"
+#: Lines that begin a quotation in full (fixed values).
+_ORIGINAL = r"(?i)^-{2,}\s*(begin )?original message\s*-{2,}$"
 _ON_WROTE = r"(?i)^on .+ wrote:$"
 
 
