@@ -228,6 +228,9 @@ md5(concat_ws(chr(10), 'Subject: ' || subject, 'From: ' || sender_header, 'To: '
     "people_cap": f"""WITH {_M}, a AS (SELECT message_id, 0 AS rank, unnest({_ADR.format('sender_header')}) AS address FROM m UNION ALL SELECT message_id, 1, unnest({_ADR.format('to_header')}) FROM m UNION ALL SELECT message_id, 2, unnest({_ADR.format('cc_header')}) FROM m),
 b AS (SELECT message_id, address, min(rank) AS rank FROM a WHERE length(address) <= 320 GROUP BY 1, 2)
 SELECT message_id, CASE WHEN rank = 0 THEN 'sender' ELSE 'recipient' END AS relationship, address FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY rank, address) AS n FROM b) WHERE n <= 50""",
+    "references_dedup": f"""WITH {_M}, l AS (SELECT message_id, {_ADR.format('to_header')} AS l FROM m WHERE to_header IS NOT NULL)
+SELECT message_id, coalesce(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:20], ' '), '') AS recipients FROM l""",
+    "mail_headers": f"WITH {_M} SELECT message_id, trim(regexp_replace(subject, '\\s+', ' ', 'g')) AS subject FROM m WHERE subject IS NOT NULL",
     "html_text": f"WITH {_M} SELECT message_id, md5(trim(regexp_replace(text, '[\\s\\x{{A0}}]+', ' ', 'g'))) AS digest FROM m WHERE body_format = 'html' AND text IS NOT NULL",
 }
 QUERIES = {f.__name__: f for f in (mail_documents, mail_bodies, mail_headers, people_cap, references_dedup, html_text)}
