@@ -249,31 +249,38 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def known_lines(messages: DataFrame, common: int = 3) -> DataFrame:
     """(message_id, inherited, boilerplate): spans of lines known from earlier messages of the
-    conversation, and spans the sender repeats in ``common`` or more conversations."""
+    conversation, and spans the sender repeats in ``common`` or more conversations.
+
+    Sentences travel as 64-bit hashes; their texts are fetched for the near pairs alone.
+    """
     s = messages.mapInArrow(_split, "message_id string, thread string, sender string, sent_at timestamp, first int, last int, s string, h long")
-    s = stage(s, "sentences")
+    s = stage(s.withColumn("thread", F.xxhash64("thread")).withColumn("w", F.xxhash64("s")), "sentences")
     # phrases that many conversations share prove no inheritance; counted on all sentences
     shared = s.groupBy("h").agg(F.approx_count_distinct("thread").alias("n")).where(F.col("n") >= common).select("h")
-    rare = s.join(shared, "h", "left_anti")
+    rare = stage(s.select("message_id", "thread", "sent_at", "first", "last", "w", "h").join(shared, "h", "left_anti"), "rare")
     # earliest place of a wording in a conversation: copies of it need no pairs of their own
-    earliest = rare.groupBy("thread", "s", "h").agg(F.min(F.struct("sent_at", "message_id")).alias("e")).select("thread", "s", "h", "e.sent_at", "e.message_id")
+    earliest = stage(rare.groupBy("thread", "w").agg(F.first("h").alias("h"), F.min(F.struct("sent_at", "message_id")).alias("e")), "earliest")
     tables = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.shiftrightunsigned("h", 16 * i).bitwiseAND(F.lit(65535)).alias("v")) for i in range(_CODES)])).alias("p")
-    late = rare.select("message_id", "thread", "sent_at", "first", "last", "s", "h")
-    w = earliest.select("thread", "s", "h", tables).select("thread", "s", "h", "p.*")
-    near = w.join(w.select("thread", "t", "v", F.col("s").alias("s2"), F.col("h").alias("h2")), ["thread", "t", "v"])
-    near = near.where((F.col("s") != F.col("s2")) & (F.bit_count(F.col("h").bitwiseXOR(F.col("h2"))) <= 3)).select("thread", "s", "s2").distinct()
+    coded = earliest.select("thread", "w", "h", tables).select("thread", "w", "h", "p.*")
+    near = coded.join(coded.select("thread", "t", "v", F.col("w").alias("w2"), F.col("h").alias("h2")), ["thread", "t", "v"])
+    near = near.where((F.col("w") < F.col("w2")) & (F.bit_count(F.col("h").bitwiseXOR(F.col("h2"))) <= 3)).select("thread", "w", "w2").distinct()
+    near = stage(near, "near")
+    asked = near.select("thread", "w").union(near.select("thread", F.col("w2").alias("w"))).distinct()
+    texts = s.select("thread", "w", "s").join(asked, ["thread", "w"], "left_semi").dropDuplicates(["thread", "w"])
+    both = near.join(texts, ["thread", "w"]).join(texts.select("thread", F.col("w").alias("w2"), F.col("s").alias("s2")), ["thread", "w2"])
     # numbers are no spelling: another reference makes another sentence
     digits = lambda c: F.regexp_replace(c, r"\D", "")
-    near = near.where((digits("s") == digits("s2")) & (F.levenshtein("s", "s2") <= F.greatest(F.length("s"), F.length("s2")) * 0.2))
-    source = earliest.select("thread", "s", F.col("sent_at").alias("e_at"), F.col("message_id").alias("e_id"))
+    both = both.where((digits("s") == digits("s2")) & (F.levenshtein("s", "s2") <= F.greatest(F.length("s"), F.length("s2")) * 0.2)).select("thread", "w", "w2")
+    both = both.unionByName(both.select("thread", F.col("w2").alias("w"), F.col("w").alias("w2")))
     # each wording with the earliest message that has it or a near wording
-    first = source.unionByName(near.join(source.withColumnRenamed("s", "s2"), ["thread", "s2"]).select("thread", "s", "e_at", "e_id"))
-    first = first.groupBy("thread", "s").agg(F.min(F.struct("e_at", "e_id")).alias("e"))
-    inherited = late.join(first, ["thread", "s"]).where((F.col("e.e_id") != F.col("message_id")) & (F.col("e.e_at") < F.col("sent_at")))
+    source = earliest.select("thread", "w", "e")
+    other = both.join(source.withColumnRenamed("w", "w2"), ["thread", "w2"]).select("thread", "w", "e")
+    first = source.unionByName(other).groupBy("thread", "w").agg(F.min("e").alias("e"))
+    inherited = rare.join(first, ["thread", "w"]).where((F.col("e.message_id") != F.col("message_id")) & (F.col("e.sent_at") < F.col("sent_at")))
     span = F.struct("first", "last")
-    inherited = inherited.groupBy("message_id").agg(F.collect_set(span).alias("inherited"))
+    inherited = inherited.groupBy("message_id").agg(F.collect_set(span).alias("inherited"))  # bounded by the lines of a message
     habits = s.where("sender IS NOT NULL").groupBy("sender", "h").agg(F.approx_count_distinct("thread").alias("n")).where(F.col("n") >= common).select("sender", "h")
-    repeated = s.join(habits, ["sender", "h"], "left_semi").groupBy("message_id").agg(F.collect_set(span).alias("boilerplate"))
+    repeated = s.select("message_id", "sender", "h", "first", "last").join(habits, ["sender", "h"], "left_semi").groupBy("message_id").agg(F.collect_set(span).alias("boilerplate"))
     return inherited.join(repeated, "message_id", "full")
 
 
