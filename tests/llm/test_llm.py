@@ -145,6 +145,8 @@ def test_neighbours(spark):
         want |= {(min(a, b), max(a, b)) for c, b in near if -c >= 0.9}
     exact = {(r.a, r.b) for r in neighbours.nearest_pairs(df, "id", "e", dim=16, factor=1.0, shard_rows=16).collect()}
     assert exact == want
+    local = {(r.a, r.b) for r in neighbours.nearest_pairs(df, "id", "e", dim=16, factor=1.0, shard_rows=10_000, local_rows=32).collect()}
+    assert local == want
     relaxed = {(r.a, r.b) for r in neighbours.nearest_pairs(df, "id", "e", dim=16, factor=0.2, shard_rows=16).collect()}
     assert len(relaxed & want) >= 0.9 * len(want)
     assert neighbours.nearest_pairs(df.limit(0), "id", "e", dim=16).count() == 0

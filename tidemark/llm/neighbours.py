@@ -4,8 +4,9 @@ The upper levels of one vantage-point tree are fitted on a bounded sample (``sam
 shared; their leaves are the shards. Every vector is indexed in exactly one shard and sent as a
 query to each shard that the triangle inequality cannot rule out: with radius r (from
 ``min_cosine``) the other side of a node is skipped if the query lies farther than ``factor * r``
-from the node's sphere. Inside a shard, blocks of members ordered by their distance to the shard's
-own vantage point are skipped by the same rule with twice the margin (both sides of a pair meet
+from the node's sphere. A shard of more than ``local_rows`` members (the shared tree is bounded, a
+table is not) builds a tree of its own. Inside a leaf, blocks of members ordered by their distance to a
+vantage point are skipped by the same rule with twice the margin (both sides of a pair meet
 there at once, while routing has a try from either side). ``factor`` 1 restores exact search; smaller factors
 skip more. A pair counts whichever of its two sides finds it, so what is lost lies beyond twice the
 margin.
@@ -121,45 +122,55 @@ def _routed(tree, dim: int, margin: float):
     return run
 
 
-def _search(dim: int, k: int, min_cosine: float, margin: float):
-    """In one shard: for every query the members near enough to be among its k best (k < members)."""
+def _search(dim: int, k: int, min_cosine: float, margin: float, local_rows: int):
+    """In one shard: for every query the members near enough to be among its k best."""
     least = min_cosine - CODE_ERROR
 
+    def compare(v: np.ndarray, queries: np.ndarray, members: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of queries and members in the order of their distance to a common vantage point."""
+        if not len(members):
+            return
+        far = _distance(v @ v[members[0]])
+        members, place = members[np.argsort(far[members])], np.full(len(v), -1)
+        queries = queries[np.argsort(far[queries])]
+        for q0 in range(0, len(queries), 512):
+            q = queries[q0 : q0 + 512]
+            lo, hi = np.searchsorted(far[members], [far[q[0]] - 2 * margin, far[q[-1]] + 2 * margin], side="left")
+            for m0 in range(lo, hi, 4096):
+                m = members[m0 : min(m0 + 4096, hi)]
+                c = v[q] @ v[m].T
+                place[m] = np.arange(len(m))
+                known = np.flatnonzero(place[q] >= 0)
+                c[known, place[q[known]]] = -2  # a vector is no neighbour of its own
+                place[m] = -1
+                i, j = np.nonzero(c >= least)
+                # beyond the k best of this block by more than the codes' error: never among the k best
+                count = np.bincount(i, minlength=len(q))
+                if c.shape[1] > k and (count > k).any():
+                    kth = np.partition(c, c.shape[1] - k, axis=1)[:, c.shape[1] - k]
+                    keep = c[i, j] >= kth[i] - 2 * CODE_ERROR
+                    i, j = i[keep], j[keep]
+                yield q[i], m[j]
+
     def run(data: pa.Table) -> pa.Table:
         own = data.column("own").to_numpy()
         v, key = _decode(data.column("code").to_pylist(), dim), data.column("key").combine_chunks()
-        members = np.flatnonzero(own)
-        a, b = [], []
-        if len(members):
-            far = _distance(v @ v[members[0]])
-            members, place = members[np.argsort(far[members])], np.full(len(v), -1)
-            queries = np.argsort(far)
-            for q0 in range(0, len(queries), 512):
-                q = queries[q0 : q0 + 512]
-                lo, hi = np.searchsorted(far[members], [far[q[0]] - 2 * margin, far[q[-1]] + 2 * margin], side="left")
-                for m0 in range(lo, hi, 4096):
-                    m = members[m0 : min(m0 + 4096, hi)]
-                    c = v[q] @ v[m].T
-                    place[m] = np.arange(len(m))
-                    known = np.flatnonzero(place[q] >= 0)
-                    c[known, place[q[known]]] = -2  # a vector is no neighbour of its own
-                    place[m] = -1
-                    i, j = np.nonzero(c >= least)
-                    # beyond the k best of this block by more than the codes' error: never among the k best
-                    count = np.bincount(i, minlength=len(q))
-                    if c.shape[1] > k and (count > k).any():
-                        kth = np.partition(c, c.shape[1] - k, axis=1)[:, c.shape[1] - k]
-                        keep = c[i, j] >= kth[i] - 2 * CODE_ERROR
-                        i, j = i[keep], j[keep]
-                    a.append(q[i])
-                    b.append(m[j])
-        a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b))
+        members, found = np.flatnonzero(own), [(np.empty(0, np.int64),) * 2]
+        if len(members) <= local_rows:
+            found += compare(v, np.arange(len(v)), members)
+        else:  # a large shard has a tree of its own
+            tree = VantageTree(v[members], math.ceil(math.log2(2 * len(members) / local_rows)))
+            row, leaf, home = tree.route(v, margin)
+            order = np.argsort(leaf, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
+                found += compare(v, row[part], row[part][home[part] & own[row[part]]])
+        a, b = (np.concatenate(x) for x in zip(*found))
         return pa.table({"a": key.take(pa.array(a)), "b": key.take(pa.array(b))})
 
     return run
 
 
-def nearest_pairs(rows: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5, min_cosine: float = 0.9, factor: float = 0.11, shard_rows: int = 1024, sample_rows: int = 65_536) -> DataFrame:
+def nearest_pairs(rows: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5, min_cosine: float = 0.9, factor: float = 0.11, shard_rows: int = 1024, sample_rows: int = 65_536, local_rows: int = 4096) -> DataFrame:
     """(a, b, cosine), a < b: pairs of ids at or above ``min_cosine`` of which one is among the ``k``
     nearest of the other. At most ``sample_rows`` codes (64 bytes each) and a tree of as many bytes
     reach the driver and are broadcast, whatever the table holds."""
@@ -186,7 +197,7 @@ def nearest_pairs(rows: DataFrame, key: str, vector: str, dim: int = 64, k: int
     tree = spark.sparkContext.broadcast(VantageTree(points, depth))
     margin = factor * math.sqrt(2 - 2 * (min_cosine - CODE_ERROR))
     routed = classes.select("key", "code").mapInArrow(_routed(tree, dim, margin), "leaf int, own boolean, key long, code binary")
-    near = routed.groupBy("leaf").applyInArrow(_search(dim, k, min_cosine, margin), "a long, b long")
+    near = routed.groupBy("leaf").applyInArrow(_search(dim, k, min_cosine, margin, local_rows), "a long, b long")
     pairs = stage(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
 
     # exact cosines from the given vectors of one id per class
