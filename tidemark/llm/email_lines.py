@@ -268,7 +268,7 @@ def known_lines(messages: DataFrame, common: int = 3) -> DataFrame:
     asked = near.select("thread", "w").union(near.select("thread", F.col("w2").alias("w"))).distinct()
     texts = s.select("thread", "w", "s").join(asked, ["thread", "w"], "left_semi").dropDuplicates(["thread", "w"])
     both = near.join(texts, ["thread", "w"]).join(texts.select("thread", F.col("w").alias("w2"), F.col("s").alias("s2")), ["thread", "w2"])
-    # numbers are no spelling: another reference makes another sentence
+    # numbers are no spelling: another number makes another sentence
     digits = lambda c: F.regexp_replace(c, r"\D", "")
     both = both.where((digits("s") == digits("s2")) & (F.levenshtein("s", "s2") <= F.greatest(F.length("s"), F.length("s2")) * 0.2)).select("thread", "w", "w2")
     both = both.unionByName(both.select("thread", F.col("w2").alias("w"), F.col("w").alias("w2")))
