@@ -18,8 +18,6 @@ first; an empty table gives an empty result; other columns are ignored. Ids must
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
