@@ -119,6 +119,14 @@ def test_frequent_segments_are_compared_in_blocks(spark):
     assert got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_large_groups_of_copies_are_listed_by_their_head(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(f"c{i:02}", text) for i in range(20)] + [("x1", text + " more"), ("x2", text + " more")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    got = {(r.a, r.b) for r in near_duplicates.near_pairs(df, "id", "text", copies=5).collect()}
+    assert got == {("c00", f"c{i:02}") for i in range(1, 20)} | {("c00", "x1"), ("c00", "x2"), ("x1", "x2")}
+
+
 def test_sketch_is_a_lower_bound():
     texts = ["a b c d e f g h i j k l", "a b c d e x g h i j k l m", "q w e r t y"]
     doc, h = near_duplicates.shingle_hashes(texts, 3)
