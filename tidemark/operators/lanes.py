@@ -327,7 +327,7 @@ _RANKED = "SELECT chunk_id, raw_score, CAST(row_number() OVER (ORDER BY raw_scor
 
 
 def _fused(lanes: dict[str, str]) -> str:
-    union = " UNION ALL ".join(f"SELECT '{k}' AS lane, chunk_id, source_id, content, modified_at, raw_score, row_number() OVER (ORDER BY raw_score DESC, chunk_id) AS rank, {WEIGHTS[k]} AS weight FROM {t}" for k, t in lanes.items())
+    union = " UNION ALL ".join(f"SELECT '{k}' AS lane, chunk_id, source_id, content, modified_at, raw_score, row_number() OVER (ORDER BY raw_score DESC, chunk_id) AS rank, {WEIGHTS[k]}::DOUBLE AS weight FROM {t}" for k, t in lanes.items())
     value = " + ".join([f"{QUALITY}", *(f"coalesce(s_{k}, 0) * {FEATURES[k]}" for k in lanes)])
     share = " + ".join([f"{QUALITY}", *(f"CASE WHEN s_{k} IS NOT NULL THEN {FEATURES[k]} ELSE 0 END" for k in lanes)])
     signals = ", ".join(f"max(CASE WHEN lane = '{k}' THEN signal END) AS s_{k}" for k in lanes)
@@ -347,6 +347,17 @@ ORACLES = {
     "keyword_matches": f"""WITH {_E}, w AS (SELECT chunk_id, {_WORDS} AS w FROM e)
 SELECT chunk_id FROM w WHERE (contains(' ' || coalesce(array_to_string(w, ' '), '') || ' ', ' loading dock ') AND NOT list_contains(w, 'forklift')) OR (contains(' ' || coalesce(array_to_string(w, ' '), '') || ' ', ' blood sample ') AND list_contains(w, 'symptom'))""",
     "rrf_fusion": f"WITH {_E}, {_X}, {_G}, {_V}, {_fused({'exact': 'x', 'trigram': 'g', 'vector': 'v'})} SELECT chunk_id, round(rrf, 6) AS rrf, score FROM s",
+    "hybrid_exact_trigram": f"""WITH RECURSIVE {_E}, {_X}, {_G}, {_fused({'exact': 'x', 'trigram': 'g'})},
+r AS (SELECT *, md5(content) AS h, row_number() OVER (ORDER BY score DESC, modified_at DESC NULLS LAST, chunk_id) AS place FROM s),
+k AS (
+  SELECT 0::BIGINT AS place, []::VARCHAR[] AS hs, []::VARCHAR[] AS ss, []::VARCHAR[] AS ids
+  UNION ALL
+  SELECT place, CASE WHEN ok THEN list_append(hs, h) ELSE hs END, CASE WHEN ok THEN list_append(ss, source_id) ELSE ss END, CASE WHEN ok THEN list_append(ids, chunk_id) ELSE ids END
+  FROM (SELECT r.place, k.hs, k.ss, k.ids, r.h, r.source_id, r.chunk_id, NOT list_contains(k.hs, r.h) AND len(list_filter(k.ss, lambda x: x = r.source_id)) < 3 AND len(k.ids) < 20 AS ok FROM k JOIN r ON r.place = k.place + 1)),
+last AS (SELECT ids FROM k ORDER BY place DESC LIMIT 1),
+picked AS (SELECT unnest(ids) AS chunk_id, CAST(unnest(range(1, len(ids) + 1)) AS INTEGER) AS position FROM last),
+t AS (SELECT picked.position, picked.chunk_id, r.score, trim(regexp_replace(r.content, '\\s+', ' ', 'g')) AS t FROM picked JOIN r ON r.chunk_id = picked.chunk_id)
+SELECT position, chunk_id, score, CASE WHEN length(t) > 500 THEN rtrim(substr(t, 1, 499)) || '…' ELSE t END AS snippet FROM t""",
     "retrieval_recall": """
 SELECT count(*) AS queries, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10, round(avg(1.0 / rank), 6) AS mrr
 FROM (SELECT row_number() OVER (PARTITION BY lower(title) ORDER BY length(text) DESC, doc_id) AS rank FROM documents WHERE title IS NOT NULL AND text IS NOT NULL)""",
