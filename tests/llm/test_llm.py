@@ -119,6 +119,18 @@ def test_frequent_segments_are_compared_in_blocks(spark):
     assert got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_large_families_keep_their_distant_pairs(spark):
+    rng = random.Random(6)
+    base = [f"v{i}" for i in range(45)]
+    texts = [(f"d{n}", edited(base, rng, 0.08)) for n in range(300)]
+    hot = [f"h{i} i{i} j{i} k{i}" for i in range(40)]  # short texts made of phrases that many use
+    texts += [(f"s{n}", " ".join(rng.sample(hot, 9))) for n in range(300)]
+    df = spark.createDataFrame(texts, "id string, text string")
+    got = {(r.a, r.b) for r in near_duplicates.near_pairs(df, "id", "text", min_words=30, shingle=3, threshold=0.5, group_rows=32, rounds=3).collect()}
+    want = jaccard_pairs(texts, 3, 0.5, 30)
+    assert got <= want and len(got) >= 0.98 * len(want), (len(got), len(want))
+
+
 def test_large_groups_of_copies_are_listed_by_their_head(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(f"c{i:02}", text) for i in range(20)] + [("x1", text + " more"), ("x2", text + " more")]
