@@ -292,3 +292,18 @@ def test_subjects(spark):
     assert not set(found) & {900, 901, 902, 903, None} and found[904] == {"art"}
     assert subjects.document_subjects(d.limit(0), labels, areas).count() == 0
     assert subjects.document_subjects(d, labels.limit(0), areas.limit(0)).count() == 0
+
+
+def test_documents_get_subjects_from_their_topics(spark):
+    rng = random.Random(8)
+    words = {"art": [f"paint{chr(97 + i)}" for i in range(12)], "sea": [f"ship{chr(97 + i)}" for i in range(12)]}
+    docs = [(i, " ".join(" ".join(rng.choices(words[s], k=6)) + "." for _ in range(6))) for i, s in enumerate(("art", "sea") * 100)]
+    # two short sentences with one term of the other subject: a vote each, but hardly any of the topics
+    docs += [(900 + i, " ".join([" ".join(rng.choices(words["art"], k=40)) + "." for _ in range(6)] + ["shipa."] * 2)) for i in range(20)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, ("art", "sea")[i % 2]) for i in range(40)], "doc_id long, subject string")
+    areas = spark.createDataFrame([("art", None), ("sea", None)], "subject string, description string")
+    found = {}
+    for r in subjects.document_subjects(d, labels, areas, topics=6, common=0.9, modelled=0.9).collect():
+        found.setdefault(r.doc_id, set()).add(r.subject)
+    assert all(found[900 + i] == {"art"} for i in range(20))
