@@ -181,12 +181,52 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deterministic unit vectors (64 values) of every subject and source name that occurs."""
+    """Deterministic unit vectors (64 values) of every source name that occurs."""
     names = documents(spark, sf_dir).where("source IS NOT NULL").select(F.col("source").alias("name")).distinct()
     v = names.select("name", F.posexplode(X.unit(X.hash_embedding(F.col("name"), 64))).alias("i", "x"))
     return v.select("name", "i", F.round("x", 9).alias("x"))
 
 
+def chunk_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of the content of every chunk with a token; the same as ``simhash64`` of its tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[str, np.ndarray] = {}
+        for batch in batches:
+            out = []
+            for tokens in batch.column(1).to_pylist():
+                if len(bits) > 100_000:  # 64 bytes a token
+                    bits.clear()
+                for w in tokens:
+                    if w not in bits:
+                        bits[w] = np.unpackbits(np.frombuffer(hashlib.sha256(w.encode()).digest()[:8], np.uint8))
+                on = np.sum([bits[w] for w in tokens], axis=0, dtype=np.int64)
+                out.append(int.from_bytes(np.packbits(on * 2 >= len(tokens)).tobytes(), "big", signed=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["chunk_id", "simhash"])
+
+    c = table(spark, sf_dir, "chunks").select("chunk_id", X.tokens(F.col("content")).alias("t")).where(F.size("t") > 0)
+    return c.mapInArrow(run, "chunk_id string, simhash long")
+
+
+def chunk_embeddings(spark: SparkSession, sf_dir: str, dimensions: int = 1536) -> DataFrame:
+    """Deterministic unit vector of the content of every chunk; the same as ``unit`` of its ``hash_embedding``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                raw = bytearray()
+                for text in part.column(1).to_pylist():
+                    t = text.encode()
+                    raw += b"".join(hashlib.sha256(b"%d:" % i + t).digest() for i in range(-(-dimensions // 32)))
+                v = (np.frombuffer(raw, np.uint8).reshape(part.num_rows, -1)[:, :dimensions] - 127.5) / 127.5
+                v /= np.sqrt((v * v).sum(1, keepdims=True))  # no byte is 127.5: never zero
+                offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * dimensions)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(v.ravel()))], ["chunk_id", "embedding"])
+
+    return table(spark, sf_dir, "chunks").where("content IS NOT NULL").select("chunk_id", "content").mapInArrow(run, "chunk_id string, embedding array<double>")
+
+
 def uuid5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source and version identities of every document."""
     d = documents(spark, sf_dir).where("connection_id IS NOT NULL AND text IS NOT NULL")
@@ -261,4 +301,4 @@ SELECT DISTINCT item_id, fetched_at, coalesce(modified_at, fetched_at) AS source
 nullif(lower(regexp_extract(name, '\\.([A-Za-z0-9]{1,16})$', 1)), '') AS extension,
 substr(coalesce(array_to_string(list_filter(list_transform(owners, lambda o: coalesce(o.display_name, o.normalized_identifier)), lambda x: x IS NOT NULL), ', '), ''), 1, 500) AS author_display, coalesce(size_bytes, 0) AS size_bytes FROM drive_items""",
 }
-QUERIES = {f.__name__: f for f in (normalize_text, tokenize, detect_language, media_gate, document_totals, chunk_fixed_window, chunk_structure, exact_dedup, near_dup_pairs, simhash, embed_hash, uuid5_ids, source_derivations)}
+QUERIES = {f.__name__: f for f in (normalize_text, tokenize, detect_language, media_gate, document_totals, chunk_fixed_window, chunk_structure, exact_dedup, near_dup_pairs, simhash, embed_hash, chunk_simhash, chunk_embeddings, uuid5_ids, source_derivations)}
