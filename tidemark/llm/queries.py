@@ -7,6 +7,7 @@ from tidemark.llm import email_lines, mixing, near_duplicates, neighbours, pii,
 QUERIES = {
     "p3_found": near_duplicates.p3_found,
     "p3_classes": near_duplicates.p3_classes,
+    "p3_groups": near_duplicates.p3_groups,
     "p4_found": neighbours.p4_found,
     "p5_found": email_lines.p5_found,
     "p6_found": pii.p6_found,
