@@ -9,8 +9,8 @@
    beside an inherited one.
 2. Lines get fingerprints too, the sender's own name left out. A wording is boilerplate if it ends
    messages wherever it stands: in ``common`` or more conversations of all senders, or in two or more
-   conversations and a fifth of those of one sender, with nothing newly worded below it in nine of
-   ten places. Lines within three bits and a tenth of the length of boilerplate are boilerplate as well.
+   conversations and a fifth of those of one sender, below the first line and with nothing newly
+   worded below it in nine of ten places. Lines within three bits and a tenth of the length of boilerplate are boilerplate as well.
 3. Inherited lines are not new. From the end of the message (or of the part before a quotation) up,
    boilerplate, the sender's name and lines of bare facts are signature. Closing formulas of four
    languages are a fallback for wordings the corpus is too small to know; marks, introductions and
@@ -341,7 +341,8 @@ def boilerplate_lines(s: DataFrame, common: int = 3, ends: float = 0.9) -> DataF
     lines = lines.join(spread, "w")
     # newly worded lines below: counted within the stretch
     below = Window.partitionBy("message_id", "run").orderBy(F.desc("no"), F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
-    lines = stage(lines.withColumn("tail", F.coalesce(F.max((~F.col("again") & ~F.col("bare")).cast("int")).over(below), F.lit(0)) == 0), "lines")
+    lines = lines.withColumn("tail", F.coalesce(F.max((~F.col("again") & ~F.col("bare")).cast("int")).over(below), F.lit(0)) == 0)
+    lines = stage(lines.withColumn("tail", F.col("tail") & (F.col("no") > F.min("no").over(Window.partitionBy("message_id")))), "lines")
     per = lines.where("again").groupBy("w", "sender").agg(F.approx_count_distinct("thread").alias("n"), F.count("*").alias("places"), F.count_if("tail").alias("tails"))
     per = stage(per, "wordings")
     everywhere = lines.where("again").groupBy("w").agg(F.approx_count_distinct("thread").alias("n"), F.avg(F.col("tail").cast("int")).alias("share")).where(F.col("n") >= common)
@@ -392,6 +393,8 @@ def _new(text: pd.Series, inherited: pd.Series, short: pd.Series, boilerplate: p
 
 def current_messages(emails: DataFrame) -> DataFrame:
     """One row per message with a text."""
+    for header in ("to_header", "cc_header"):  # without addressees sentences are only followed within their conversation
+        emails = emails if header in emails.columns else emails.withColumn(header, F.lit(None).cast("string"))
     newest = F.max(F.struct("fetched_at", F.length("text").alias("n"), "text", "thread_id", "sender_header", "sent_at", "to_header", "cc_header")).alias("m")
     m = emails.where("message_id IS NOT NULL").groupBy("message_id").agg(newest).select("message_id", "m.*")
     address = r"([\w.+'-]+@[\w.-]+)"
