@@ -257,10 +257,11 @@ def test_wordings_that_end_messages_are_learned(spark):
 
 
 def test_unmarked_quotations_of_other_conversations(spark):
-    said = "The northern depot keeps its spare keys in the third drawer."
-    rows = [("a", "t1", "Ann <ann@x.example>", 1, said, "bob@x.example"), ("b", "t2", "Bob <bob@x.example>", 2, f"I looked again at the list.\n{said}", "Ann <ann@x.example>"), ("c", "t3", "Eve <eve@x.example>", 3, said, "dan@x.example")]
+    said, other = "The northern depot keeps its spare keys in the third drawer.", "Nobody counted the lamps of the southern hall this week."
+    rows = [("a", "t1", "Ann <ann@x.example>", 1, said, "bob@x.example"), ("b", "t2", "Bob <bob@x.example>", 2, f"I looked again at the list.\n{said}", "Ann <ann@x.example>")]
+    rows += [("c", "t3", "Eve <eve@x.example>", 3, other, "dan@x.example"), ("d", "t4", "Bob <bob@x.example>", 4, f"I looked for more.\n{other}", "Ann <ann@x.example>")]
     got = sorted((r.message_id, r.line_no) for r in email_lines.new_line_numbers(mails(spark, rows)).collect())
-    assert got == [("a", 1), ("b", 1), ("c", 1)]
+    assert got == [("a", 1), ("b", 1), ("c", 1), ("d", 1), ("d", 2)]  # c went to others: no inheritance
 
 
 def test_the_method_decides(spark, data):
@@ -340,6 +341,35 @@ def test_name_lexicon(spark):
     assert pii.name_lexicon(people.limit(0), mails.limit(0)).count() == 0
 
 
+def test_names_stay_linked_by_their_parts(spark):
+    lexicon = spark.createDataFrame([("F", "ann"), ("L", "müller"), ("L", "baker"), ("F", "uma"), ("L", "van den berg")], "part string, name string")
+    people = ["Ann Müller", "Müller", "ANN", "Uma Baker", "Baker, Uma", "Uma", "Baker", "U. Baker", "V. Baker", "Ann van den Berg", "van den Berg", "Uma Müller"]
+    found = spark.createDataFrame([("person_name", p) for p in people] + [("id_number", f"{i:03}") for i in range(400)], "kind string, value string")
+    s = {(r.kind, r.entity): r.surrogate for r in pii.assign_surrogates(found, b"k", lexicon).collect()}
+    name = {e: v for (k, e), v in s.items() if k == "person_name"}
+    assert name["ann müller"] == f"{name['ann']} {name['müller']}" and name["uma baker"] == f"{name['uma']} {name['baker']}" and name["ann van den berg"] == f"{name['ann']} {name['van den berg']}"
+    assert name["u. baker"] != name["v. baker"] and name["u. baker"].split()[1] == name["baker"]
+    assert len(set(s.items())) == len({(k, v) for (k, _), v in s.items()}) == len(s)
+    assert not {w.lower() for v in name.values() for w in v.split()} & {"ann", "uma", "müller", "baker"}
+
+
+@pytest.mark.parametrize("address", ["12 rue du Lac, 75001 Paris", "59 old mill road", "12 LONG LANE, London, N1 7AA", "Alte Gasse 4b, 10115 Berlin"])
+def test_addresses_keep_their_form_and_lose_their_words(address):
+    new = pii.fit("street_address", address, pii.surrogate("street_address", pii.canonical("street_address", address), b"k"))
+    kept = {w.lower() for w in re.findall(r"[^\W\d_]+", address)} & {w.lower() for w in re.findall(r"[^\W\d_]+", new)}
+    assert kept <= {"rue", "road", "lane", "gasse"} and re.sub(r"\w+", "w", new) == re.sub(r"\w+", "w", address)
+    assert all(o.isupper() == n.isupper() for o, n in zip(re.findall(r"[^\W\d_]{2,}", address), re.findall(r"[^\W\d_]{2,}", new)))
+
+
+def test_a_large_lexicon_is_joined(spark):
+    lexicon = spark.createDataFrame([("F", "ann"), ("L", "müller"), ("L", "van den berg"), ("F", "bob")], "part string, name string")
+    rows = [("text", "1", "Ann Müller met Bob van den Berg."), ("text", "2", ""), ("sender_header", "3", "Müller, Ann <a@x.example>")]
+    df = spark.createDataFrame(rows, "field string, record_id string, text string")
+    assert pii.load_names(lexicon, bound=3) is None
+    assert sorted(pii.detect(df, lexicon).collect()) == sorted(pii.detect(df, pii.load_names(lexicon)).collect())
+    assert pii.detect(df, lexicon.limit(0)).where("kind = 'person_name'").count() == 0
+
+
 # --- subjects -----------------------------------------------------------------------------------
 def test_subjects(spark):
     rng = random.Random(4)
@@ -357,7 +387,7 @@ def test_subjects(spark):
     labels = spark.createDataFrame([(i, s) for i in range(40) for s in truth[i]] + [(41, "sea"), (None, "art"), (2, None), (3, "unknown")], "doc_id long, subject string")
     areas = spark.createDataFrame([("art", "painting"), ("sea", None)], "subject string, description string")
     found = {}
-    for r in subjects.document_subjects(d, labels, areas, topics=6, common=0.9, modelled=0.9).collect():
+    for r in subjects.document_subjects(d, labels, areas, common=0.9, modelled=0.9).collect():
         found.setdefault(r.doc_id, set()).add(r.subject)
     held = [i for i in range(50, 300)]
     assert sum(found.get(i, set()) == truth[i] for i in held) >= 0.95 * len(held)
@@ -376,6 +406,25 @@ def test_documents_get_subjects_from_their_topics(spark):
     labels = spark.createDataFrame([(i, ("art", "sea")[i % 2]) for i in range(40)], "doc_id long, subject string")
     areas = spark.createDataFrame([("art", None), ("sea", None)], "subject string, description string")
     found = {}
-    for r in subjects.document_subjects(d, labels, areas, topics=6, common=0.9, modelled=0.9).collect():
+    for r in subjects.document_subjects(d, labels, areas, common=0.9, modelled=0.9).collect():
         found.setdefault(r.doc_id, set()).add(r.subject)
     assert all(found[900 + i] == {"art"} for i in range(20))
+
+
+def test_topics_decide_the_subjects(spark, data, monkeypatch):
+    """With flat topics in place of the fitted ones hardly a subject is left."""
+    d, labels, areas = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "subject_labels", "subjects"))
+    got = {tuple(r) for r in subjects.document_subjects(d, labels, areas).collect()}
+    monkeypatch.setattr(subjects, "topic_model", lambda docs, start, prior, used, alpha, passes: np.ones_like(start))
+    flat = {tuple(r) for r in subjects.document_subjects(d, labels, areas).collect()}
+    assert got and len(got & flat) < 0.5 * len(got)
+
+
+def test_inference_keeps_the_count_of_terms():
+    rng = np.random.default_rng(3)
+    expected = subjects._expected(rng.gamma(1.0, 1.0, (30, 4)))
+    ids, doc = rng.integers(0, 30, 200), np.sort(rng.integers(0, 5, 200))
+    gamma, d, term, took = subjects.infer(ids, doc, 6, expected, 0.05)
+    weight = 1 + np.log(np.unique(doc << 32 | ids, return_counts=True)[1])
+    assert np.allclose(took.sum(1), weight, rtol=1e-4) and np.allclose((gamma - 0.05).sum(1), np.bincount(d, weights=weight, minlength=6), atol=1e-2)
+    assert abs(subjects._digamma(np.array([1.0]))[0] + 0.5772156649) < 1e-7

@@ -157,8 +157,6 @@ def _names(text: str, taken: list[tuple[int, int]], names: Names, header: bool)
             alone = _ALONE.match(text[line_start:a]) and re.fullmatch(r"[ \t]*[,.!]?[ \t]*", rest)
             starts = _ALONE.match(text[line_start:a]) and re.match(r"[ \t]*(?:,[ \t]|,?$)", rest)
             before = _PERSON_BEFORE.search(text[max(0, a - 24) : a])
-            if before and re.search(r"\b(?:to|by|for|of|with|and|from|an|a|de|y|por|con|et|in)\s+$", text[max(0, a - 24) : a]) and text[a:b] in ("March", "May", "Field", "Stone", "Will", "Mark", "April", "June", "August"):
-                before = re.search(r"(?:spoke with|talked to|Both .{3,40} and|paquete de|Unterlagen von|colis pour|lists .{3,60} for|address of|Llamad a)\s+$", text[max(0, a - 90) : a])
             if not (alone or starts or before or _PERSON_AFTER.match(text, b)):
                 continue
         yield a, b
@@ -233,22 +231,30 @@ def name_lexicon(people: DataFrame, headers: DataFrame) -> DataFrame:
     return both.groupBy("part", F.lower("name").alias("name")).agg(F.count("*").alias("n"))
 
 
-def load_names(lexicon: DataFrame, bound: int = 500_000) -> Names:
-    """The lexicon for the tasks. Name words grow far slower than people; beyond ``bound`` of them
-    those seen once are given up, and a lexicon still larger is refused."""
+def load_names(lexicon: DataFrame, bound: int = 500_000) -> Names | None:
+    """The lexicon for the tasks, or None if it has more than ``bound`` names: then it stays a table
+    and :func:`detect` joins it to the words of the records."""
     lexicon = cut(lexicon)
     if lexicon.count() > bound:
-        lexicon = lexicon.where("n > 1")
-        if lexicon.count() > bound:
-            raise ValueError(f"the name lexicon has more than {bound} entries")
+        return None
     rows = lexicon.collect()
     return Names({r.name for r in rows if r.part == "F"}, {r.name for r in rows if r.part == "L"})
 
 
-def detect(records: DataFrame, names: Names) -> DataFrame:
+_FOUND = "field string, record_id string, kind string, start_pos int, end_pos int, value string"
+
+
+def _entities(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * 6
+    types = [pa.string()] * 3 + [pa.int32()] * 2 + [pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["field", "record_id", "kind", "start_pos", "end_pos", "value"])
+
+
+def detect(records: DataFrame, names: Names | DataFrame) -> DataFrame:
     """(field, record_id, kind, start_pos, end_pos, value) over rows (field, record_id, text)."""
-    spark = records.sparkSession
-    shared = spark.sparkContext.broadcast(names)
+    if isinstance(names, DataFrame):
+        return _detect_by_join(records, names)
+    shared = records.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = shared.value
@@ -256,11 +262,38 @@ def detect(records: DataFrame, names: Names) -> DataFrame:
             rows = []
             for field, record, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 rows += [(field, record, kind, a, b, text[a:b]) for kind, a, b in find_entities(text, lexicon, field.endswith("_header"))]
-            columns = list(zip(*rows)) or [[]] * 6
-            types = [pa.string()] * 3 + [pa.int32()] * 2 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["field", "record_id", "kind", "start_pos", "end_pos", "value"])
+            yield _entities(rows)
+
+    return records.select("field", "record_id", "text").mapInArrow(run, _FOUND)
+
+
+def _detect_by_join(records: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Detection with a lexicon of any size: each record gets the names that its words can be."""
+    records = records.select("field", "record_id", "text").distinct().withColumn("uid", F.xxhash64("field", "record_id", "text"))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uid, key = [], []
+            for u, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = [re.sub(r"['’]s$", "", m.group().casefold()) for m in _CAPITAL.finditer(text)]
+                own = {*w, *map(" ".join, zip(w, w[1:]))}  # names of several words are found by their first two
+                uid += [u] * len(own)
+                key += own
+            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(key, pa.string())], ["uid", "key"])
+
+    asked = records.select("uid", "text").mapInArrow(words, "uid long, key string")
+    keyed = lexicon.select("part", "name", F.array_join(F.slice(F.split("name", " "), 1, 2), " ").alias("key"))
+    held = asked.join(keyed, "key").groupBy("uid").agg(F.collect_set(F.struct("part", "name")).alias("names"))  # bounded by the words of a text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for field, record, text, known in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                own = Names({n["name"] for n in known or () if n["part"] == "F"}, {n["name"] for n in known or () if n["part"] == "L"})
+                rows += [(field, record, kind, a, b, text[a:b]) for kind, a, b in find_entities(text, own, field.endswith("_header"))]
+            yield _entities(rows)
 
-    return records.mapInArrow(run, "field string, record_id string, kind string, start_pos int, end_pos int, value string")
+    return records.join(held, "uid", "left").select("field", "record_id", "text", "names").mapInArrow(run, _FOUND)
 
 
 def project_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,13 +307,14 @@ def project_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).where("record_id IS NOT NULL AND text <> ''")
 
 
-def project_names(spark: SparkSession, sf_dir: str) -> Names:
-    return load_names(name_lexicon(table(spark, sf_dir, "people"), table(spark, sf_dir, "email_messages")))
+def project_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(name_lexicon(table(spark, sf_dir, "people"), table(spark, sf_dir, "email_messages")))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of personal information in mails, sender headers and chunks."""
-    found = detect(project_records(spark, sf_dir), project_names(spark, sf_dir))
+    lexicon = project_lexicon(spark, sf_dir)
+    found = detect(project_records(spark, sf_dir), load_names(lexicon) or lexicon)
     return found.select("field", "record_id", "kind", "start_pos", "end_pos").distinct()
 
 
@@ -317,27 +351,57 @@ def canonical(kind: str, value: str) -> str:
     return v.casefold()
 
 
+#: Words of addresses that say what kind of place it is; they stay (fixed values).
+_KINDS = frozenset(f"{STREET}|rue|avenue|boulevard|chemin|impasse|allée|quai|cours|route|passage|calle|avenida|avda|plaza|paseo|camino|ronda|straße|str|weg|allee|gasse|platz|ring|unit|flat|suite|apt|apartment|floor|room|bis|ter".casefold().replace(".", "").split("|"))
+
+
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
-    """A stand-in of the same kind and format, drawn from the keyed stream of the entity."""
+    """A stand-in of the same kind and format, drawn from the keyed stream of the entity; kinds F and L
+    are a first and a last name by themselves."""
     draw = _bytes(key, kind, value, attempt)
     pick = lambda seq: seq[next(draw) % len(seq)]
-
-    def name(word: str, first: bool) -> str:
-        # the same word in the same role gets the same surrogate word: "Ume" and "Ume Baker" stay linked
-        own = _bytes(key, "first" if first else "last", word, attempt)
-        choose = lambda seq: seq[next(own) % len(seq)]
-        if first:
-            return (choose(_SYLLABLES) + choose(_SYLLABLES) + choose(_SYLLABLES) + choose(_FEMALE if _female(word) else _MALE)).capitalize()
-        return (choose(_SYLLABLES) + choose(_SYLLABLES) + choose(_ENDS)).capitalize()
-
-    if kind == "person_name":
-        words = value.split()
-        if any(len(w) == 2 and w.endswith(".") for w in words[:1]):
-            return " ".join([name(words[0], True)[0] + ".", name(" ".join(words[1:]), False)])
-        return name(words[0], True) if len(words) == 1 else f"{name(words[0], True)} {name(' '.join(words[1:]), False)}"
+    if kind == "F":
+        return (pick(_SYLLABLES) + pick(_SYLLABLES) + pick(_SYLLABLES) + pick(_FEMALE if _female(value) else _MALE)).capitalize()
+    if kind == "L":
+        return (pick(_SYLLABLES) + pick(_SYLLABLES) + pick(_ENDS)).capitalize()
     if kind == "email":
         return "".join(pick(_SYLLABLES) for _ in range(3)) + f"{next(draw):02x}@" + pick(_SYLLABLES) + pick(_ENDS) + ".example"
-    return "".join(str(next(draw) % 10) if c.isdigit() else (chr(97 + next(draw) % 26) if c.islower() else chr(65 + next(draw) % 26)) if c.isalpha() and (kind == "id_number" or not c.isascii()) else c for c in (value if kind != "street_address" else re.sub(r"[^\W\d_]{4,}", lambda m: pick(_SYLLABLES).capitalize() + pick(_ENDS), value)))
+
+    def sign(c: str) -> str:
+        return str(next(draw) % 10) if c.isdigit() else chr(97 + next(draw) % 26) if c.isalpha() else c
+
+    if kind == "street_address":
+        def word(m: re.Match) -> str:
+            w = m.group()
+            if any(map(str.isdigit, w)) or len(w) == 1:
+                return "".join(map(sign, w))
+            return w if w in _KINDS else pick(_SYLLABLES) if len(w) < 4 else pick(_SYLLABLES) + pick(_ENDS)
+
+        return re.sub(r"[^\W_]+", word, value)
+    return "".join(map(sign, value)) if kind == "id_number" else "".join(sign(c) if c.isdigit() else c for c in value)
+
+
+def initial(letter: str, key: bytes) -> str:
+    """Initials are exchanged by a keyed shift, so different ones stay different."""
+    at = "abcdefghijklmnopqrstuvwxyz".find(letter)
+    return chr(97 + (at + 1 + next(_bytes(key, "initial")) % 25) % 26) if at >= 0 else letter
+
+
+def name_parts(name: str) -> list[tuple[str, str]]:
+    """(role, word) of a canonical name: F first, L last, I initial, ? a single word."""
+    words = name.split()
+    lone = [w for w in words if not (len(w) == 2 and w[1] == ".")]
+    out = [("I", w[0]) for w in words[: len(words) - len(lone)]] if words[:1] != lone[:1] else []
+    if len(lone) == 1 and not out:
+        return [("?" if len(words) == 1 else "L", lone[0])] + [("I", w[0]) for w in words if w not in lone]
+    if not out:
+        out = [("F", lone[0]), *(("I", w[0]) for w in words if w not in lone)]
+        lone = lone[1:]
+    return [*out, ("L", " ".join(lone))] if lone else out
+
+
+def _like_case(model: str, word: str) -> str:
+    return word.upper() if model.isupper() and len(model) > 1 else word.capitalize() if model[:1].isupper() else word.lower()
 
 
 def fit(kind: str, value: str, stand_in: str) -> str:
@@ -355,16 +419,26 @@ def fit(kind: str, value: str, stand_in: str) -> str:
     if kind in ("phone", "id_number"):
         drawn = iter([c for c in stand_in if c.isalnum()])
         return "".join((next(drawn, c).upper() if c.isupper() else next(drawn, c)) if c.isalnum() else c for c in value)
+    if kind == "street_address":
+        drawn = iter(re.findall(r"[^\W_]+", stand_in))
+
+        def put(m: re.Match) -> str:
+            own, new = m.group(), next(drawn, "")
+            return "".join(n.upper() if o.isupper() else n for o, n in zip(own, new)) if any(map(str.isdigit, own)) else _like_case(own, new)
+
+        return re.sub(r"[^\W_]+", put, value)
     if kind == "email" and "@" not in value:
         return stand_in.replace("@", " [at] " if "[" in value else " at ").replace(".", " dot " if " dot " in value.lower() else ".")
     return stand_in
 
 
-def assign_surrogates(found: DataFrame, key: bytes, rounds: int = 12) -> DataFrame:
+def assign_surrogates(found: DataFrame, key: bytes, lexicon: DataFrame | None = None, rounds: int = 40) -> DataFrame:
     """(kind, entity, surrogate): one surrogate per distinct entity, all distinct within their kind.
 
-    The entities that share a surrogate are found by one window over the surrogates; all but the
-    smallest draw again until no collision is left.
+    Names get theirs part by part, so a first or a last name alone stays linked to the full name;
+    ``lexicon`` says which of the two a single word is. What shares a surrogate is found by one window
+    over the surrogates: all but the smallest draw again, as does what was given a real entity's
+    value, until none is left. Numbers too short to stay distinct get a digit more.
     """
 
     def entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,23 +446,46 @@ def assign_surrogates(found: DataFrame, key: bytes, rounds: int = 12) -> DataFra
             kinds, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([canonical(k, v) for k, v in zip(kinds, values)], pa.string())], ["kind", "entity"])
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            rows = [(e, n, role, word) for e, last in names for n, (role, word) in enumerate([("L", e)] if last else name_parts(e))]
+            c = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.string(), pa.int32(), pa.string(), pa.string()))], ["entity", "n", "role", "word"])
+
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(i).to_pylist() for i in range(3)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([surrogate(k, e, key, n) for k, e, n in rows], pa.string())], ["kind", "entity", "attempt", "surrogate"])
-
+            drawn = [initial(e, key).upper() + "." if k == "I" else surrogate(k, e, key, n) for k, e, n in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(drawn, pa.string())], ["kind", "entity", "attempt", "surrogate"])
+
+    every = cut(found.select("kind", "value").distinct().mapInArrow(entities, "kind string, entity string").distinct())
+    person = every.where("kind = 'person_name'").select("entity", F.lit(False).alias("last"))
+    if lexicon is not None:  # last names by themselves, of one word or more
+        role = lexicon.groupBy(F.col("name").alias("entity")).agg((F.min("part") == "L").alias("known"))
+        person = person.join(role, "entity", "left").select("entity", F.coalesce("known", F.lit(False)).alias("last"))
+    part = person.mapInArrow(parts, "entity string, n int, role string, word string")
+    part = cut(part.select("entity", "n", F.when(F.col("role") == "?", "F").otherwise(F.col("role")).alias("role"), "word"))
     shape = "kind string, entity string, attempt int, surrogate string"
-    now = found.select("kind", "value").distinct().mapInArrow(entities, "kind string, entity string").distinct().withColumn("attempt", F.lit(0))
+    now = every.where("kind <> 'person_name'").unionByName(part.select(F.col("role").alias("kind"), F.col("word").alias("entity")).distinct()).withColumn("attempt", F.lit(0))
+    real = now.where("kind <> 'I'").select("kind", F.col("entity").alias("low"), F.lit(True).alias("real"))
+    if lexicon is not None:
+        real = real.unionByName(lexicon.select(F.col("part").alias("kind"), F.col("name").alias("low"), F.lit(True).alias("real"))).distinct()
+    real = cut(real)
     for _ in range(rounds):
-        now = cut(now.select("kind", "entity", "attempt").mapInArrow(draw, shape).withColumn("n", F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("entity"))))
+        now = now.select("kind", "entity", "attempt").mapInArrow(draw, shape).withColumn("low", F.lower("surrogate")).join(real, ["kind", "low"], "left")
+        place = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("entity"))
+        now = cut(now.withColumn("n", F.when(F.col("kind") == "I", 1).otherwise(place + F.coalesce(F.col("real").cast("int"), F.lit(0)))).drop("low", "real"))
         if now.where("n > 1").isEmpty():
             break
         now = now.withColumn("attempt", F.col("attempt") + F.when(F.col("n") > 1, F.col("n") - 1).otherwise(0))
-    # entities that still collide after all rounds (tiny formats) are told apart by their rank
-    return now.select("kind", "entity", F.when(F.col("n") > 1, F.concat("surrogate", F.lit("~"), F.col("n").cast("string"))).otherwise(F.col("surrogate")).alias("surrogate"))
+    now = now.select("kind", "entity", F.when(F.col("n") > 1, F.concat("surrogate", F.col("n").cast("string"))).otherwise(F.col("surrogate")).alias("surrogate"))
+    words = now.select(F.col("kind").alias("role"), F.col("entity").alias("word"), "surrogate")
+    whole = part.join(words, ["role", "word"]).groupBy("entity").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "surrogate"))), lambda x: x["surrogate"]), " ").alias("surrogate"))
+    return now.where("kind NOT IN ('F', 'L', 'I')").unionByName(whole.select(F.lit("person_name").alias("kind"), "entity", "surrogate"))
 
 
-def replace(records: DataFrame, names: Names, key: bytes) -> DataFrame:
+def replace(records: DataFrame, names: Names | DataFrame, key: bytes, lexicon: DataFrame | None = None) -> DataFrame:
     """(field, record_id, replaced) of records with entities: each entity as ``[kind: surrogate]``."""
     found = stage(detect(records, names), "entities")
 
@@ -398,7 +495,7 @@ def replace(records: DataFrame, names: Names, key: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(entity, pa.string())], ["field", "record_id", "kind", "start_pos", "end_pos", "entity"])
 
     places = found.mapInArrow(keyed, "field string, record_id string, kind string, start_pos int, end_pos int, entity string")
-    places = places.join(assign_surrogates(found, key), ["kind", "entity"])
+    places = places.join(assign_surrogates(found, key, lexicon), ["kind", "entity"])
     texts = records.select("field", "record_id", "text", F.xxhash64("text").alias("h"))
     # entities of one record are few; a record is identified by its text too, as rows repeat
     per_record = places.distinct().groupBy("field", "record_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "kind", "surrogate"))).alias("places"))
@@ -420,5 +517,8 @@ def replace(records: DataFrame, names: Names, key: bytes) -> DataFrame:
 
 
 def p6_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts with a typed surrogate in place of every entity."""
-    return replace(project_records(spark, sf_dir), project_names(spark, sf_dir), b"tidemark")
+    """The texts with a typed surrogate in place of every entity; the key is the session's setting
+    ``spark.tidemark.surrogateKey``."""
+    lexicon = project_lexicon(spark, sf_dir)
+    key = spark.conf.get("spark.tidemark.surrogateKey", "a key for tests only")
+    return replace(project_records(spark, sf_dir), load_names(lexicon) or lexicon, key.encode(), lexicon)
