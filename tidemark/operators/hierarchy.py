@@ -171,24 +171,37 @@ def hierarchy(items: DataFrame, block_rows: int = 50_000) -> DataFrame:
 
 
 def _on_loops(edges: DataFrame, junctions: DataFrame) -> DataFrame:
-    """(c, x) of items on loops that pass a junction."""
+    """(c, x) of items on loops that pass a junction: strongly connected junctions and what lies between.
+
+    Every junction takes the largest id that leads to it as its colour; those from which the way
+    leads back to the colour's own junction are one component. Components leave the graph, and the
+    rest is coloured anew. No step holds more rows than there are links.
+    """
     e = cut(edges.join(junctions.withColumnRenamed("x", "top"), ["c", "top"], "left_semi").select("c", "top", "x", "seg"))
-    n = e.count()
-    while n:  # peel off links that nothing leads into or out of
+    closed = e.limit(0).select("c", "top", "seg")
+    while True:
+        # what nothing leads into or out of lies on no loop
         e = e.join(e.select("c", F.col("x").alias("top")).distinct(), ["c", "top"], "left_semi").join(e.select("c", F.col("top").alias("x")).distinct(), ["c", "x"], "left_semi")
-        e = cut(e)
-        n, was = e.count(), n
-        if n == was:
-            break
-    hop = e.select("c", F.col("top").alias("x"), F.col("x").alias("to")).distinct()
-    reach = new = cut(e.select("c", "top", "x").distinct())
-    while not new.isEmpty():
-        new = new.join(hop, ["c", "x"]).select("c", "top", F.col("to").alias("x")).distinct().join(reach, ["c", "top", "x"], "left_anti")
-        new = cut(new)
-        reach = cut(reach.unionByName(new))
-    back = reach.select("c", F.col("x").alias("top"), F.col("top").alias("x"))
-    closed = e.join(back, ["c", "top", "x"], "left_semi").unionByName(e.where("top = x")).select("c", "top", F.split("seg", SEP).alias("ids"))
-    return closed.select("c", F.explode(F.concat(F.array("top"), "ids")).alias("x")).distinct()
+        e = cut(e.select("c", "top", "x", "seg"))
+        if e.isEmpty():
+            return closed.select("c", F.explode(F.concat(F.array("top"), F.split("seg", SEP))).alias("x")).distinct()
+        hop = e.select("c", "top", "x").distinct()
+        colour = cut(hop.select("c", "x").union(hop.select("c", "top")).distinct().withColumn("colour", F.col("x")))
+        moved = True
+        while moved:
+            came = hop.join(colour.withColumnRenamed("x", "top"), ["c", "top"]).select("c", "x", "colour")
+            now = cut(colour.select("c", "x", "colour", F.col("colour").alias("was")).unionByName(came.withColumn("was", F.lit(None).cast("string"))).groupBy("c", "x").agg(F.max("colour").alias("colour"), F.max("was").alias("was")))
+            moved = not now.where("colour <> was").isEmpty()
+            colour = now.select("c", "x", "colour")
+        same = hop.join(colour.withColumnRenamed("x", "top"), ["c", "top"]).join(colour, ["c", "x", "colour"]).select("c", "top", "x")
+        back = new = cut(colour.where("x = colour").select("c", "x"))
+        while not new.isEmpty():
+            new = cut(same.join(new, ["c", "x"]).select("c", F.col("top").alias("x")).distinct().join(back, ["c", "x"], "left_anti"))
+            back = cut(back.unionByName(new))
+        part = colour.join(back, ["c", "x"], "left_semi")
+        inside = e.join(part.withColumnRenamed("x", "top"), ["c", "top"]).join(part, ["c", "x", "colour"])
+        closed = closed.unionByName(cut(inside.select("c", "top", "seg")))
+        e = e.join(back, ["c", "x"], "left_anti").join(back.withColumnRenamed("x", "top"), ["c", "top"], "left_anti").select("c", "top", "x", "seg")
 
 
 def descendants(ways: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import hierarchy
 from tidemark.session import table
 
 
@@ -208,18 +209,18 @@ def queue_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.orderBy("priority", "o_orderdate", "o_orderkey").limit(10)
 
 
-def folder_paths(spark: SparkSession, sf_dir: str, most: int = 100) -> DataFrame:
-    """Folder path of every file as a listing writes it: names from the root down, by recursive SQL."""
-    spark.read.parquet(f"{sf_dir}/drive_items.parquet").createOrReplaceTempView("tm_drive_items")
-    return spark.sql(f"""
-WITH RECURSIVE cur AS (
-  SELECT connection_id, item_id, max_by(struct(name, is_folder, parent_ids), struct(modified_at, fetched_at)) AS r FROM tm_drive_items GROUP BY connection_id, item_id),
-flat AS (SELECT connection_id AS c, item_id AS x, r.name AS name, r.is_folder AS f, CASE WHEN size(r.parent_ids) = 1 THEN r.parent_ids[0] END AS p, coalesce(size(r.parent_ids), 0) <= 0 AS top FROM cur),
-way (c, x, depth, path) AS (
-  SELECT c, x, 0, coalesce(name, '') FROM flat WHERE top
-  UNION ALL
-  SELECT f.c, f.x, w.depth + 1, concat(w.path, '/', coalesce(f.name, '')) FROM way w JOIN flat f ON f.c = w.c AND f.p = w.x WHERE w.depth < {most})
-SELECT c AS connection_id, x AS item_id, depth, path FROM way WHERE length(path) <= 8000""")
+def folder_paths(spark: SparkSession, sf_dir: str, most: int = 100, longest: int = 8000) -> DataFrame:
+    """Every way down to every Drive item, written in names as a listing does. Items with several
+    parents have several; ways of more than ``most`` steps or ``longest`` characters are no listing
+    paths, and items on loops have none beyond those that visit nothing twice."""
+    items = table(spark, sf_dir, "drive_items")
+    ways = hierarchy.hierarchy(items).where(F.col("depth").between(0, most)).select("c", "x", "root", "depth", F.split("path", hierarchy.SEP).alias("ids"))
+    newest = F.max_by("name", F.struct("modified_at", "fetched_at", "is_folder", "parent_ids"))
+    names = items.where("connection_id IS NOT NULL AND item_id IS NOT NULL").groupBy(F.col("connection_id").alias("c"), F.col("item_id").alias("id")).agg(newest.alias("name"))
+    steps = ways.select("c", "x", "depth", F.xxhash64("ids").alias("way"), F.posexplode("ids").alias("at", "id")).join(names, ["c", "id"])
+    each = steps.groupBy("c", "x", "depth", "way").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("name", F.lit("")).alias("name")))).alias("steps"))  # at most ``most`` + 1
+    path = F.array_join(F.transform("steps", lambda s: s["name"]), "/")
+    return each.select(F.col("c").alias("connection_id"), F.col("x").alias("item_id"), "depth", path.alias("path")).where(F.length("path") <= longest)
 
 
 _N = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY connection_id, item_id ORDER BY fetched_at DESC NULLS LAST, modified_at DESC NULLS LAST, name DESC NULLS LAST, owners[1].normalized_identifier DESC NULLS LAST, size_bytes DESC NULLS LAST) AS n FROM drive_items WHERE fetched_at {0} TIMESTAMP '2025-01-01') WHERE n = 1"
@@ -263,10 +264,10 @@ FROM gmail_history_pages WHERE history_id <> '' GROUP BY 1, 2) GROUP BY 1""",
 SELECT day, finished, open, failed, open = 0 AND failed = 0 AS ready FROM (SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'purchase') AS finished, count(*) FILTER (event_type IN ('click', 'view')) AS open, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1)""",
     "exhausted_jobs": "SELECT user_id, count(*) AS attempts, max(ts) AS last, CASE WHEN count(*) >= 5 THEN 'dead_letter' ELSE 'retry_wait' END AS state FROM events WHERE event_type = 'error' GROUP BY 1",
     "queue_head": "SELECT o_orderkey, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority, o_orderdate FROM orders WHERE o_orderstatus = 'O' ORDER BY 2, 3, 1 LIMIT 10",
-    "folder_paths": """
-WITH RECURSIVE cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY connection_id, item_id ORDER BY modified_at DESC, fetched_at DESC) AS n FROM drive_items) WHERE n = 1),
-way AS (SELECT connection_id AS c, item_id AS x, 0 AS depth, coalesce(name, '') AS path FROM cur WHERE parent_ids IS NULL OR len(parent_ids) = 0
-UNION ALL SELECT w.c, k.item_id, w.depth + 1, w.path || '/' || coalesce(k.name, '') FROM way w JOIN cur k ON k.connection_id = w.c AND len(k.parent_ids) = 1 AND k.parent_ids[1] = w.x WHERE w.depth < 100)
-SELECT c AS connection_id, x AS item_id, depth, path FROM way WHERE length(path) <= 8000""",
+    "folder_paths": hierarchy._WAYS + """
+, step AS (SELECT c, x, depth, path, unnest(path) AS id, unnest(range(len(path))) AS at FROM way WHERE depth <= 100)
+SELECT connection_id, item_id, depth, path FROM (
+  SELECT s.c AS connection_id, s.x AS item_id, s.depth, string_agg(coalesce(k.name, ''), '/' ORDER BY s.at) AS path
+  FROM step s JOIN cur k ON k.connection_id = s.c AND k.item_id = s.id GROUP BY s.c, s.x, s.depth, s.path) WHERE length(path) <= 8000""",
 }
 QUERIES = {f.__name__: f for f in (upsert_sources, replace_people, insert_absent_versions, tombstone_purge, usage_deltas, cascade_children, left_current_version, unchanged_skip, promotion_guard, scalar_array_subquery, history_last_action, change_contract, reconcile_absent, run_barrier, exhausted_jobs, queue_head, folder_paths)}

@@ -16,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, read from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, notebooks) a temporary folder is used.
+    Only where a session on one machine names none (tests, notebooks) a temporary folder is used;
+    on a cluster, where others could not read it, that is an error.
     """
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         known = sc._jsc.sc().getCheckpointDir()
         known = known.get() if known.isDefined() else None
     if not known:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(known)
@@ -31,16 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and go on from the files (reliable checkpoint)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder once and go on from the files, which cuts its lineage.
+
+    A reliable checkpoint would compute the frame twice, once for the checkpoint itself.
+    """
+    return stage(df, "cut")
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    Unlike :func:`cut` the result is columnar and compressed, so later steps read only the
-    columns they need. Use it for wide intermediate tables that are read more than once.
+    The table is columnar and compressed, so later steps read only the columns they need.
     """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
