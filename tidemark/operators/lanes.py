@@ -102,11 +102,16 @@ def _lane(scored: DataFrame, lane: str) -> DataFrame:
     return top.withColumn("lane", F.lit(lane)).withColumn("rank", F.row_number().over(rank))
 
 
-def exact_lane(chunks: DataFrame, p: Plan) -> DataFrame:
-    """Title equal 1.0, title containing 0.8, content containing 0.6."""
+def _literal(p: Plan) -> tuple[Column, Column]:
+    """Score and condition of a literal match: title equal 1.0, title containing 0.8, content containing 0.6."""
     q, title = F.lit(p.literal), F.lower("title")
-    score = F.when(title == q, 1.0).when(title.contains(q), 0.8).otherwise(0.6)
-    return _lane(chunks.where(title.contains(q) | F.lower("content").contains(q)).withColumn("raw_score", score), "exact")
+    return F.when(title == q, 1.0).when(title.contains(q), 0.8).otherwise(0.6), title.contains(q) | F.lower("content").contains(q)
+
+
+def exact_lane(chunks: DataFrame, p: Plan) -> DataFrame:
+    """Chunks that hold the query literally."""
+    score, match = _literal(p)
+    return _lane(chunks.where(match).withColumn("raw_score", score), "exact")
 
 
 def words(text: Column) -> Column:
@@ -165,10 +170,16 @@ def trigram_lane(chunks: DataFrame, p: Plan, least: float = 0.15) -> DataFrame:
     return _lane(chunks.withColumn("raw_score", X.trigram_similarity(F.col("title"), F.lit(p.text))).where(F.col("raw_score") >= least), "trigram")
 
 
-def query_vector(chunks: DataFrame) -> list[float]:
-    """A query vector taken from the corpus: the embedding of the first proper chunk (one row)."""
-    row = chunks.where(_proper("embedding")).orderBy("chunk_id").select("embedding").first()
-    return list(row.embedding) if row else []
+def query_vector(chunks: DataFrame, p: Plan, best: int = 10) -> list[float]:
+    """A vector for the query: the mean embedding of its ``best`` literal matches, none without a match.
+
+    The embeddings of the table come from a model that is not at hand, so the query cannot be embedded
+    itself; what matches it literally stands for it (relevance feedback).
+    """
+    score, match = _literal(p)
+    top = chunks.where(match & _proper("embedding")).orderBy(F.desc(score), "chunk_id").limit(best)
+    mean = top.select(F.posexplode("embedding").alias("i", "v")).groupBy("i").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    return [r.v for r in mean.orderBy("i").collect()]  # as many numbers as an embedding has
 
 
 def fuse(lanes: DataFrame) -> DataFrame:
@@ -222,7 +233,7 @@ def pack(ranked: DataFrame, budget: int = 12_000, most: int = 15, per_source: in
 
 
 def all_lanes(chunks: DataFrame, p: Plan) -> DataFrame:
-    vector = vector_lane(chunks, query_vector(chunks))
+    vector = vector_lane(chunks, query_vector(chunks, p))
     return exact_lane(chunks, p).unionByName(keyword_lane(chunks, p)).unionByName(vector).unionByName(trigram_lane(chunks, p))
 
 
@@ -256,7 +267,7 @@ def keyword_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lane_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best 100 by cosine."""
     e = search_frame(spark, sf_dir)
-    return _shown(vector_lane(e, query_vector(e)))
+    return _shown(vector_lane(e, query_vector(e, plan(QUERY))))
 
 
 def lane_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +278,7 @@ def lane_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused scores of the exact, trigram and vector lanes."""
     e, p = search_frame(spark, sf_dir), plan(QUERY)
-    lanes = exact_lane(e, p).unionByName(trigram_lane(e, p)).unionByName(vector_lane(e, query_vector(e)))
+    lanes = exact_lane(e, p).unionByName(trigram_lane(e, p)).unionByName(vector_lane(e, query_vector(e, p)))
     return fuse(lanes).select("chunk_id", F.round("rrf", 6).alias("rrf"), "score")
 
 
@@ -297,14 +308,30 @@ def answer_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the first sentence of a document's text leads back to it by title and content words.
+    """Known-item search: how often and how high a chunk comes back for words taken from itself.
 
-    Every document with a title is a query for its own title; its rank among all documents with that
-    title (by length of text, then id) gives recall at 5 and 10 and the mean reciprocal rank.
+    Queries are all eligible chunks whose hashed id is divisible by 100, each by its three rarest words
+    (keyword lane: matching words by rarity) and its first five words (exact lane: the phrase). All
+    queries meet all chunks in one join over postings; the lanes are fused as those of a request.
+    Copies of a chunk compete with it, so 1.0 is out of reach.
     """
-    d = table(spark, sf_dir, "documents").where("title IS NOT NULL AND text IS NOT NULL").select("doc_id", F.lower("title").alias("title"), F.length("text").alias("n"))
-    r = d.withColumn("rank", F.row_number().over(Window.partitionBy("title").orderBy(F.desc("n"), "doc_id")))
-    return r.agg(F.count("*").alias("queries"), F.round(F.avg((F.col("rank") <= 5).cast("double")), 6).alias("recall_5"), F.round(F.avg((F.col("rank") <= 10).cast("double")), 6).alias("recall_10"), F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"))
+    e = stage(eligible(spark, sf_dir).select("chunk_id", words(F.col("content")).alias("w")), "words")
+    asked = e.where(F.conv(F.substring(F.md5("chunk_id"), 1, 8), 16, 10).cast("long") % 100 == 0)
+    postings = e.select("chunk_id", F.explode(F.array_distinct("w")).alias("word")).where(F.length("word") >= 3)
+    df = postings.groupBy("word").agg(F.count("*").alias("df"))
+    rare = asked.select(F.col("chunk_id").alias("q"), F.explode(F.array_distinct("w")).alias("word")).where(F.length("word") >= 3).join(df, "word")
+    rare = rare.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("df", "word"))).where("n <= 3").select("q", "word", "df")
+    score = rare.join(postings, "word").groupBy("q", "chunk_id").agg(F.round(F.sum(1 / F.col("df")), 9).alias("raw_score"))
+    phrases = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " "))
+    grams = e.where(F.size("w") >= 5).select("chunk_id", F.explode(F.array_distinct(phrases)).alias("phrase"))
+    first = asked.where(F.size("w") >= 5).select(F.col("chunk_id").alias("q"), F.array_join(F.slice("w", 1, 5), " ").alias("phrase"))
+    exact = first.join(grams, "phrase").select("q", "chunk_id", F.lit(0.6).alias("raw_score"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("raw_score"), "chunk_id"))
+    lanes = [x.withColumn("rank", place).where(F.col("rank") <= SIZES[k]).select("q", "chunk_id", (F.lit(WEIGHTS[k]) / (RANK_CONSTANT + F.col("rank"))).alias("part")) for k, x in (("exact", exact), ("keyword", score))]
+    fused = lanes[0].unionByName(lanes[1]).groupBy("q", "chunk_id").agg(F.round(F.sum("part"), 9).alias("raw_score")).withColumn("place", place)
+    hit = asked.select(F.col("chunk_id").alias("q")).join(fused.where("q = chunk_id").select("q", "place"), "q", "left")
+    within = lambda k: F.round(F.avg(F.coalesce(F.col("place") <= k, F.lit(False)).cast("double")), 6)
+    return hit.agg(F.count("*").alias("queries"), within(5).alias("recall_5"), within(10).alias("recall_10"), F.round(F.avg(F.coalesce(1 / F.col("place"), F.lit(0.0))), 6).alias("mrr"))
 
 
 _E = """
@@ -321,7 +348,9 @@ g AS (SELECT * EXCLUDE (a, b), round(len(list_intersect(a, b)) / (len(a) + len(b
   WHERE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) >= 0.15 ORDER BY raw_score DESC, chunk_id LIMIT 50)"""
 _P = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: isnan(x))) = 0"
 _V = f"""
-q AS (SELECT embedding::DOUBLE[] AS qv FROM e WHERE {_P} ORDER BY chunk_id LIMIT 1),
+b AS (SELECT embedding FROM e WHERE {_P} AND (contains(lower(title), '{QUERY}') OR contains(lower(content), '{QUERY}'))
+  ORDER BY CASE WHEN lower(title) = '{QUERY}' THEN 1.0 WHEN contains(lower(title), '{QUERY}') THEN 0.8 ELSE 0.6 END DESC, chunk_id LIMIT 10),
+q AS (SELECT list(m ORDER BY i) AS qv FROM (SELECT i, avg(v) AS m FROM (SELECT unnest(embedding::DOUBLE[]) AS v, unnest(range(64)) AS i FROM b) GROUP BY i)),
 v AS (SELECT e.*, round(greatest(list_cosine_similarity(embedding::DOUBLE[], qv), 0), 6) AS raw_score FROM e, q WHERE {_P} AND list_cosine_similarity(embedding::DOUBLE[], qv) >= 0.1 ORDER BY raw_score DESC, chunk_id LIMIT 100)"""
 _RANKED = "SELECT chunk_id, raw_score, CAST(row_number() OVER (ORDER BY raw_score DESC, chunk_id) AS INTEGER) AS rank FROM "
 
@@ -358,8 +387,19 @@ last AS (SELECT ids FROM k ORDER BY place DESC LIMIT 1),
 picked AS (SELECT unnest(ids) AS chunk_id, CAST(unnest(range(1, len(ids) + 1)) AS INTEGER) AS position FROM last),
 t AS (SELECT picked.position, picked.chunk_id, r.score, trim(regexp_replace(r.content, '\\s+', ' ', 'g')) AS t FROM picked JOIN r ON r.chunk_id = picked.chunk_id)
 SELECT position, chunk_id, score, CASE WHEN length(t) > 500 THEN rtrim(substr(t, 1, 499)) || '…' ELSE t END AS snippet FROM t""",
-    "retrieval_recall": """
-SELECT count(*) AS queries, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10, round(avg(1.0 / rank), 6) AS mrr
-FROM (SELECT row_number() OVER (PARTITION BY lower(title) ORDER BY length(text) DESC, doc_id) AS rank FROM documents WHERE title IS NOT NULL AND text IS NOT NULL)""",
+    "retrieval_recall": f"""WITH {_E}, t AS (SELECT chunk_id, {_WORDS} AS w FROM e),
+a AS (SELECT *, chunk_id AS q FROM t WHERE CAST('0x' || substr(md5(chunk_id), 1, 8) AS BIGINT) % 100 = 0),
+p AS (SELECT DISTINCT chunk_id, word FROM (SELECT chunk_id, unnest(w) AS word FROM t) WHERE length(word) >= 3),
+d AS (SELECT word, count(*) AS df FROM p GROUP BY 1),
+r AS (SELECT * FROM (SELECT a.q, d.word, d.df, row_number() OVER (PARTITION BY a.q ORDER BY d.df, d.word) AS n FROM a JOIN p ON p.chunk_id = a.q JOIN d ON d.word = p.word) WHERE n <= 3),
+k AS (SELECT r.q, p.chunk_id, round(sum(1.0::DOUBLE / r.df), 9) AS score FROM r JOIN p ON p.word = r.word GROUP BY 1, 2),
+g AS (SELECT DISTINCT chunk_id, array_to_string(w[i:i + 4], ' ') AS phrase FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5)),
+x AS (SELECT a.q, g.chunk_id, 0.6 AS score FROM a JOIN g ON len(a.w) >= 5 AND g.phrase = array_to_string(a.w[1:5], ' ')),
+l AS (
+  SELECT q, chunk_id, 1.5::DOUBLE / (60 + rank) AS part FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, chunk_id) AS rank FROM x) WHERE rank <= 50
+  UNION ALL SELECT q, chunk_id, 1.25::DOUBLE / (60 + rank) FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, chunk_id) AS rank FROM k) WHERE rank <= 100),
+f AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, chunk_id) AS place FROM (SELECT q, chunk_id, round(sum(part), 9) AS s FROM l GROUP BY 1, 2))
+SELECT count(*) AS queries, round(avg(CASE WHEN place <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(CASE WHEN place <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10, round(avg(coalesce(1.0 / place, 0.0)), 6) AS mrr
+FROM a LEFT JOIN f ON f.q = a.q AND f.chunk_id = a.q""",
 }
 QUERIES = {f.__name__: f for f in (eligible_chunks, lane_exact, lane_keyword, keyword_matches, lane_vector, lane_trigram, rrf_fusion, hybrid_exact_trigram, hybrid_search, context_pack, answer_extract, retrieval_recall)}

@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 
 from tidemark.session import table
 
+# --- fixed values: what a reader of a mail sees, and what starts a line of its own -------------
 _SKIPPED = {"head", "script", "style", "noscript", "svg", "title", "blockquote"}
-_BLOCKS = {"address", "article", "br", "div", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul"}
+_BLOCKS = {"address", "article", "aside", "br", "div", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _CLASSES = {"gmail_quote", "gmail_extra", "gmail_signature"}
 
