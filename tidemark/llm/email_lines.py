@@ -235,15 +235,23 @@ def simhash(parts: list[str]) -> np.ndarray:
         gram = (gram ^ gram >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
         h, o = np.concatenate([h, gram ^ gram >> np.uint64(32)]), np.concatenate([o, at[:-3][whole]])
     total = np.zeros((len(parts), 64), dtype=np.int32)
-    if len(h):
-        order = np.argsort(o, kind="stable")
-        h, o = h[order], o[order]
-        begin = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int16) * 2 - 1
-        total[o[begin]] = np.add.reduceat(bits, begin, axis=0)
+    order = np.argsort(o, kind="stable")
+    h, o = h[order], o[order]
+    for at in range(0, len(h), 1 << 17):  # long texts take no more memory than short ones
+        part, own = h[at : at + (1 << 17)], o[at : at + (1 << 17)]
+        begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.int8) * np.int8(2) - np.int8(1)
+        total[own[begin]] += np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
     return np.packbits(total >= 0, axis=1, bitorder="little").view(np.int64).ravel()
 
 
+def _hashes(text: list[str]) -> np.ndarray:
+    """SimHashes of the texts long enough to have near ones, each computed once, and 0 for the rest."""
+    place = {t: i for i, t in enumerate(dict.fromkeys(t for t in text if len(t) >= NEAR))}
+    known = np.r_[simhash(list(place)), 0] if place else np.zeros(1, np.int64)
+    return known[[place.get(t, -1) for t in text]]
+
+
 def wording(line: str, names: set[str]) -> str:
     """Words and digits of a line without the sender's name at its end."""
     words = re.findall(r"\w+", line.casefold())
@@ -257,7 +265,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     line, ``last`` the place in it): ``run`` numbers the stretches between marked lines, introductions
     and header blocks, ``bare`` says that a line is a name or a fact. ``w`` hashes the wording, ``d`` its digits, ``h`` is the SimHash."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
+        for at in range(0, batch.num_rows, 128):
             part = batch.slice(at, 512)
             row, first, last, run, bare, text = [], [], [], [], [], []
             for i, (t, header) in enumerate(zip(part.column(4).to_pylist(), part.column(5).to_pylist())):
@@ -285,7 +293,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(i).take(take) for i in range(4)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(run, pa.int32()), pa.array(bare), pa.array(text, pa.string())]
                 + [pa.array(np.asarray(x, dtype=np.uint64).view(np.int64)) for x in (w, digits)]
-                + [pa.array(simhash(text))],
+                + [pa.array(_hashes(text))],
                 ["message_id", "thread", "sender", "sent_at", "first", "last", "run", "bare", "s", "w", "d", "h"],
             )
 
