@@ -266,7 +266,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     and header blocks, ``bare`` says that a line is a name or a fact. ``w`` hashes the wording, ``d`` its digits, ``h`` is the SimHash."""
     for batch in batches:
         for at in range(0, batch.num_rows, 128):
-            part = batch.slice(at, 512)
+            part = batch.slice(at, 128)
             row, first, last, run, bare, text = [], [], [], [], [], []
             for i, (t, header) in enumerate(zip(part.column(4).to_pylist(), part.column(5).to_pylist())):
                 names = {w for w in re.findall(r"[^\W\d_]+", (header or "").casefold()) if len(w) > 1}
