@@ -20,6 +20,8 @@ empty table; columns not named here are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,12 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.session import new_path, table
+from tidemark.session import cut, new_path, table
 
 PAGE = ["connection_id", "hist", "page_no"]
 KEY = ["connection_id", "external_id"]
 #: What marks an attachment's id behind its message's id (fixed value).
 ATTACHMENT = ":attachment:"
+#: Hash buckets of the stored index; a batch reads those its messages fall into.
+INDEX_BUCKETS = 64
 
 
 def last_deliveries(pages: DataFrame) -> DataFrame:
@@ -73,6 +77,11 @@ class ChangeTable:
     def _read(self, kind: str) -> DataFrame:
         return self.spark.read.parquet(*self._paths(kind))
 
+    def _vectors(self, batches: int) -> DataFrame:
+        """(file, bucket, vector): the bitmap last written for every part of a file."""
+        written = self.spark.read.schema("file string, bucket bigint, vector binary, batch int").parquet(*self._paths("vectors")[:batches])
+        return written.groupBy("file", "bucket").agg(F.max_by("vector", "batch").alias("vector"))
+
     def apply(self, pages: DataFrame) -> None:
         """Append the batch and renew the delete vectors of what it touches."""
         b, first = self.batches, self.batches == 0
@@ -93,24 +102,31 @@ class ChangeTable:
         gone.withColumn("message_id", _message("external_id")).write.parquet(at % "deletes")
         self.batches += 1
 
-        index = self._read("images").select(*KEY, "message_id", *PAGE[1:], "received_at", "delivery_id", "pos", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+        place = self.spark.read.schema(images.schema).parquet(at % "images")
+        place = place.select(*KEY, "message_id", *PAGE[1:], "received_at", "delivery_id", "pos", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+        place = place.withColumn("kb", F.pmod(F.hash("connection_id", "message_id"), F.lit(INDEX_BUCKETS)))
+        place.write.partitionBy("kb").parquet(f"{self.root}/index/batch={b}")
+        index = self.spark.read.schema(place.schema).parquet(f"{self.root}/index")
         deletes = self._read("deletes")
         if not first:
             # touched: messages of this batch, and those of earlier deliveries of its pages
-            again = feed.select(*PAGE)
-            own = [f.select("connection_id", "message_id") for f in (index.join(again, PAGE, "left_semi"), deletes.join(again, PAGE, "left_semi"))]
-            touched = own[0].union(own[1]).distinct()
-            index = index.join(touched, ["connection_id", "message_id"], "left_semi")
+            again = cut(feed.select(*PAGE).join(known.select(*[F.col(f"_{c}").alias(c) for c in PAGE]), PAGE, "left_semi"))
+            own = [self.spark.read.schema(d.schema).parquet(at % k).select("connection_id", "message_id") for k, d in (("images", images), ("deletes", deletes))]
+            if not again.isEmpty():
+                own += [f.join(again, PAGE, "left_semi").select("connection_id", "message_id") for f in (index, deletes)]
+            touched = cut(reduce(DataFrame.union, own).distinct().withColumn("kb", F.pmod(F.hash("connection_id", "message_id"), F.lit(INDEX_BUCKETS))))
+            buckets = [r.kb for r in touched.select("kb").distinct().collect()]  # at most INDEX_BUCKETS
+            index = index.where(F.col("kb").isin(buckets)).join(touched, ["kb", "connection_id", "message_id"], "left_semi")
             deletes = deletes.join(touched, ["connection_id", "message_id"], "left_semi")
         dead = self._dead(index, deletes, None if first else self._read("pages"))
         dead = dead.withColumn("bucket", F.expr("bitmap_bucket_number(row + 1)")).withColumn("bit", F.expr("bitmap_bit_position(row + 1)"))
         vectors = dead.groupBy("file", "bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("seen"), F.expr("bitmap_construct_agg(bit) FILTER (WHERE dead)").alias("dead"))
         if not first:
-            old = self.spark.read.parquet(f"{self.root}/vectors/b{b - 1}")
-            vectors = old.join(vectors, ["file", "bucket"], "full").select("file", "bucket", _patch("vector", "seen", "dead").alias("vector"))
+            old = self._vectors(b)
+            vectors = vectors.join(old, ["file", "bucket"], "left").select("file", "bucket", _patch("vector", "seen", "dead").alias("vector"))
         else:
             vectors = vectors.select("file", "bucket", F.col("dead").alias("vector"))
-        vectors.write.parquet(at % "vectors")
+        vectors.withColumn("batch", F.lit(b)).write.parquet(at % "vectors")
 
     @staticmethod
     def _dead(index: DataFrame, deletes: DataFrame, pages: DataFrame | None) -> DataFrame:
@@ -134,7 +150,7 @@ class ChangeTable:
         """The current rows: (connection_id, external_id, history_id, document)."""
         images = self._read("images").select(*KEY, "history_id", F.col("d").alias("document"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
         images = images.withColumn("bucket", F.expr("bitmap_bucket_number(row + 1)")).withColumn("bit", F.expr("bitmap_bit_position(row + 1)"))
-        vectors = self.spark.read.schema(T.StructType.fromDDL("file string, bucket bigint, vector binary")).parquet(f"{self.root}/vectors/b{self.batches - 1}")
+        vectors = self._vectors(self.batches)
         byte = F.expr("cast(conv(hex(substring(vector, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)")
         is_set = F.coalesce(F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0, F.lit(False))
         return images.join(vectors, ["file", "bucket"], "left").where(~is_set).select(*KEY, "history_id", "document")
@@ -158,6 +174,14 @@ def p2_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("connection_id", "external_id", "history_id", "document.source_type", "document.title", "document.content", F.array_join("document.label_ids", ",").alias("labels"))
 
 
+def p2_batches(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFrame:
+    """The same state after the deliveries came in several batches and in another order."""
+    pages, changes = table(spark, sf_dir, "gmail_history_pages"), ChangeTable(spark)
+    for i in reversed(range(batches)):
+        changes.apply(pages.where(F.pmod(F.xxhash64("delivery_id"), F.lit(batches)) == i))
+    return changes.read().select("connection_id", "external_id", "history_id")
+
+
 _LEFT = """
 WITH p AS (
   SELECT *, CAST(history_id AS HUGEINT) AS hist FROM (
@@ -177,4 +201,5 @@ ORACLES = {
     "p2_found": _LEFT + "SELECT connection_id, external_id, history_id" + _ALIVE,
     "p2_state": _LEFT + "SELECT connection_id, external_id, history_id, doc.source_type AS source_type, doc.title AS title, doc.content AS content, CASE WHEN doc.label_ids IS NOT NULL THEN coalesce(array_to_string(doc.label_ids, ','), '') END AS labels" + _ALIVE,
 }
-QUERIES = {"p2_found": p2_found, "p2_state": p2_state}
+ORACLES["p2_batches"] = ORACLES["p2_found"]
+QUERIES = {"p2_found": p2_found, "p2_state": p2_state, "p2_batches": p2_batches}

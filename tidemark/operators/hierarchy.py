@@ -135,12 +135,15 @@ def hierarchy(items: DataFrame, block_rows: int = 50_000) -> DataFrame:
     row with root '', depth -1 and path '' per item on a loop or out of reach of every root."""
     now = cut(current_items(items))
     folders = now.where("is_folder").select("c", F.col("x").alias("p"))
-    links = now.select("c", "x", F.explode(F.array_distinct("parent_ids")).alias("p")).where("p IS NOT NULL").join(folders, ["c", "p"])
-    parents = cut(links.groupBy("c", "x").agg(F.count("*").alias("n"), F.min("p").alias("p")))
+    links = now.select("c", "x", "is_folder", F.explode(F.array_distinct("parent_ids")).alias("p")).where("p IS NOT NULL").join(folders, ["c", "p"]).select("c", "x", "p", "is_folder")
+    parents = cut(links.groupBy("c", "x").agg(F.count("*").alias("n"), F.min("p").alias("p"), F.coalesce(F.max("is_folder"), F.lit(False)).alias("is_folder")))
     roots = now.select("c", "x").join(parents, ["c", "x"], "left_anti")
-    single = parents.where("n = 1").select("c", "x", "p")
+    single = parents.where("n = 1")
     junctions = parents.where("n > 1").select("c", "x")
-    tops = chain_tops(single, block_rows)
+    # only folders have anything below them: the forests hold folders, files hang on at the end
+    above = chain_tops(single.where("is_folder").select("c", "x", "p"), block_rows)
+    files = single.where("NOT is_folder").select("c", "x", F.col("p").alias("top"), F.lit(1).alias("hops"), F.col("x").alias("seg"), F.lit(False).alias("loop"))
+    tops = cut(above.unionByName(_onto(files, above)))
 
     # junction links: from the parent's top down to the junction
     into = links.join(junctions, ["c", "x"], "left_semi")

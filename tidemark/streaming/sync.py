@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.changes import ORACLES as CHANGES
 from tidemark.operators.changes import ChangeTable
@@ -38,25 +39,49 @@ def stream_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.read().select("connection_id", "external_id", "history_id")
 
 
+def batch_sink(out: str):
+    """A writer of micro-batches into folders of their own: a batch that is repeated replaces itself."""
+    return lambda batch, n: batch.withColumn("batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{out}/b={n}")
+
+
+def written(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """Rows of all micro-batches below ``out``, with the number of their batch."""
+    schema = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/b=none")
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
+
+
+def hourly(events: DataFrame, out: str) -> DataFrame:
+    """(hour, event_type, events, value) of a stream with ``ts``, ``event_type`` and ``value``.
+
+    A window's state goes when the watermark passes it, and what comes later is dropped; each batch
+    writes the windows it changed, of which the last written counts.
+    """
+    hours = events.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("value"))
+    flat = hours.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "events", "value")
+    spark = events.sparkSession
+    run_available(flat, batch_sink(out), new_path(spark, "hours-progress"), "update")
+    last = F.max_by(F.struct("events", "value"), "batch").alias("r")
+    return written(spark, out, flat.schema).groupBy("hour", "event_type").agg(last).select("hour", "event_type", "r.*")
+
+
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events and their values per hour and type; rows later than a day are dropped by the watermark."""
-    out = new_path(spark, "hours")
-    events = read_stream(spark, sf_dir, "events", 8).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
-    hours = events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("value"))
-    flat = hours.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "events", "value")
-    spark.createDataFrame([], flat.schema).write.parquet(out)
-    run_available(flat, lambda b, n: b.write.mode("overwrite").parquet(out), new_path(spark, "hours-progress"), "complete")
-    return spark.read.schema(flat.schema).parquet(out)
+    return hourly(read_stream(spark, sf_dir, "events", 8).withColumn("ts", F.col("ts").cast("timestamp")), new_path(spark, "hours"))
+
+
+def first_seen(events: DataFrame, out: str) -> DataFrame:
+    """(event_id, event_type) of a stream, each id once within the watermark of its ``ts``."""
+    once = events.withWatermark("ts", "30 days").dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type")
+    run_available(once, batch_sink(out), new_path(events.sparkSession, "seen-progress"))
+    return written(events.sparkSession, out, once.schema).drop("batch")
 
 
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event id once, however often it is delivered: deduplicated within the watermark."""
-    out = new_path(spark, "seen")
-    e = read_stream(spark, sf_dir, "events", 8).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "30 days")
-    twice = e.unionByName(e).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type")
-    spark.createDataFrame([], twice.schema).write.parquet(out)
-    run_available(twice, lambda b, n: b.write.mode("append").parquet(out), new_path(spark, "seen-progress"))
-    return spark.read.schema(twice.schema).parquet(out).groupBy("event_type").agg(F.count("*").alias("events"), F.countDistinct("event_id").alias("ids"))
+    e = read_stream(spark, sf_dir, "events", 8).withColumn("ts", F.col("ts").cast("timestamp"))
+    seen = first_seen(e.unionByName(e), new_path(spark, "seen"))
+    return seen.groupBy("event_type").agg(F.count("*").alias("events"), F.countDistinct("event_id").alias("ids"))
 
 
 ORACLES = {
