@@ -190,6 +190,15 @@ def star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("r_name", "c_mktsegment").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("lines"))
 
 
+def chunk_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the current version of every source, with workspace and provider of their active
+    connection. A version is what was modified at one time; repeated rows give way to the last indexed."""
+    c = table(spark, sf_dir, "chunks").where("chunk_id IS NOT NULL").groupBy("chunk_id").agg(F.max(F.struct("indexed_at", "modified_at", "source_id", "connection_id", "chunk_index")).alias("r")).select("chunk_id", "r.*")
+    versions = c.groupBy("source_id").agg(F.max("modified_at").alias("modified_at"))
+    active = table(spark, sf_dir, "connections").where("status = 'active'").select("connection_id", "workspace_id", "provider")
+    return c.join(versions, ["source_id", "modified_at"]).join(active, "connection_id").select("chunk_id", "source_id", "chunk_index", "modified_at", "workspace_id", "provider")
+
+
 def exists_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders per priority that have a returned line."""
     back = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
@@ -214,6 +223,10 @@ WHEN length(title) > 2000 THEN 'long title' WHEN lang IS NULL THEN 'no language'
     "star_join": """
 SELECT r_name, c_mktsegment, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""",
+    "chunk_star": """
+WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC NULLS LAST, modified_at DESC NULLS LAST, source_id DESC NULLS LAST, connection_id DESC NULLS LAST, chunk_index DESC NULLS LAST) AS n FROM chunks WHERE chunk_id IS NOT NULL) WHERE n = 1),
+v AS (SELECT source_id, max(modified_at) AS modified_at FROM c GROUP BY 1)
+SELECT chunk_id, source_id, chunk_index, modified_at, workspace_id, provider FROM c JOIN v USING (source_id, modified_at) JOIN connections USING (connection_id) WHERE status = 'active'""",
     "exists_semi": "SELECT o_orderpriority, count(*) AS orders FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY 1",
 }
-QUERIES = {f.__name__: f for f in (filter_providers, filter_filetype, filter_dates, filter_people, filter_collections, tenant_scope, row_validation, json_predicates, keyset_page, star_join, exists_semi)}
+QUERIES = {f.__name__: f for f in (filter_providers, filter_filetype, filter_dates, filter_people, filter_collections, tenant_scope, row_validation, json_predicates, keyset_page, star_join, chunk_star, exists_semi)}

@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.store import newest
+from tidemark.operators.store import ORACLES as STORE
+from tidemark.operators.store import folder_paths, newest
 from tidemark.session import table
 
 #: Bounds of an office file: packed bytes, unpacked bytes, members, characters of text.
@@ -197,6 +198,24 @@ def drive_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select("connection_id", "item_id", F.concat_ws("\n", F.concat(F.lit("Name: "), F.coalesce("name", F.lit(""))), F.concat(F.lit("Type: "), F.coalesce("mime_type", F.lit("")))).alias("content"), F.coalesce(parents, F.lit("")).alias("parents"))
 
 
+def drive_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current files as documents: name, type and logical path, a link, and metadata as JSON. Of several
+    paths the first by text counts; a file without a path down from a root stands by its name."""
+    order = F.struct("modified_at", "fetched_at", "is_folder", "parent_ids")
+    fields = ("name", "mime_type", "is_folder", "parent_ids", "drive_id", "size_bytes", "shortcut_target_id")
+    i = table(spark, sf_dir, "drive_items").where("connection_id IS NOT NULL AND item_id IS NOT NULL")
+    i = i.groupBy("connection_id", "item_id").agg(F.max_by(F.struct(*fields), order).alias("r")).select("connection_id", "item_id", "r.*").where("NOT coalesce(is_folder, false)")
+    paths = folder_paths(spark, sf_dir).groupBy("connection_id", "item_id").agg(F.min("path").alias("path"))
+    name = F.coalesce("name", F.lit(""))
+    i = i.join(paths, ["connection_id", "item_id"], "left").withColumn("path", F.coalesce("path", name))
+    shortcut = F.when(F.col("shortcut_target_id").isNotNull(), "Shortcut: indexed without following its target")
+    content = F.concat_ws("\n", F.concat(F.lit("Name: "), name), F.concat(F.lit("Type: "), "mime_type"), F.concat(F.lit("Path: "), "path"), shortcut)
+    parents = F.coalesce("parent_ids", F.array().cast("array<string>"))
+    facts = F.struct(F.col("item_id").alias("file_id"), F.col("path").alias("logical_path"), parents.alias("parent_ids"), "drive_id", F.col("size_bytes").alias("size"), "shortcut_target_id")
+    link = F.concat(F.lit("https://drive.google.com/open?id="), F.replace(F.url_encode("item_id"), F.lit("+"), F.lit("%20")))
+    return i.select("connection_id", "item_id", content.alias("content"), link.alias("url"), F.to_json(facts).alias("metadata"))
+
+
 def extraction_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files per extractor."""
     route = F.coalesce(F.create_map(*[F.lit(x) for kv in ROUTES.items() for x in kv])[F.col("mime_type")], F.lit("descriptor"))
@@ -210,6 +229,15 @@ WHEN len(owners) > 100 THEN 'owners' WHEN coalesce(size_bytes, 0) < 0 THEN 'size
     "drive_normalize": """
 SELECT connection_id, item_id, 'Name: ' || coalesce(name, '') || chr(10) || 'Type: ' || coalesce(mime_type, '') AS content, coalesce(array_to_string(list_sort(list_distinct(list_filter(parent_ids, lambda x: x IS NOT NULL))), ','), '') AS parents
 FROM (SELECT *, row_number() OVER (PARTITION BY connection_id, item_id ORDER BY modified_at DESC NULLS LAST, fetched_at DESC NULLS LAST, name DESC NULLS LAST, mime_type DESC NULLS LAST) AS n FROM drive_items) WHERE n = 1""",
+    "drive_documents": f"""
+WITH RECURSIVE {STORE['folder_paths'].split('WITH RECURSIVE', 1)[1].rsplit('SELECT connection_id, item_id, depth, path FROM (', 1)[0]}
+, named AS (SELECT s.c, s.x, s.path, string_agg(coalesce(k.name, ''), '/' ORDER BY s.at) AS text FROM step s JOIN cur k ON k.connection_id = s.c AND k.item_id = s.id GROUP BY s.c, s.x, s.depth, s.path),
+best AS (SELECT c, x, min(text) AS text FROM named WHERE length(text) <= 8000 GROUP BY 1, 2),
+f AS (SELECT cur.*, coalesce(text, name, '') AS way FROM cur LEFT JOIN best ON c = connection_id AND x = item_id WHERE NOT coalesce(is_folder, false) AND connection_id IS NOT NULL AND item_id IS NOT NULL)
+SELECT connection_id, item_id, concat_ws(chr(10), 'Name: ' || coalesce(name, ''), 'Type: ' || mime_type, 'Path: ' || way, CASE WHEN shortcut_target_id IS NOT NULL THEN 'Shortcut: indexed without following its target' END) AS content,
+'https://drive.google.com/open?id=' || url_encode(item_id) AS url,
+'{{' || concat_ws(',', '"file_id":' || CAST(to_json(item_id) AS VARCHAR), '"logical_path":' || CAST(to_json(way) AS VARCHAR), '"parent_ids":' || CASE WHEN parent_ids IS NULL THEN '[]' ELSE CAST(to_json(parent_ids) AS VARCHAR) END,
+  CASE WHEN drive_id IS NOT NULL THEN '"drive_id":' || CAST(to_json(drive_id) AS VARCHAR) END, CASE WHEN size_bytes IS NOT NULL THEN '"size":' || size_bytes END, CASE WHEN shortcut_target_id IS NOT NULL THEN '"shortcut_target_id":' || CAST(to_json(shortcut_target_id) AS VARCHAR) END) || '}}' AS metadata FROM f""",
     "extraction_route": "SELECT CASE mime_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ROUTES.items()) + " ELSE 'descriptor' END AS route, count(*) AS files FROM drive_items WHERE NOT is_folder GROUP BY 1",
 }
-QUERIES = {f.__name__: f for f in (drive_validate, drive_normalize, extraction_route)}
+QUERIES = {f.__name__: f for f in (drive_validate, drive_normalize, drive_documents, extraction_route)}
