@@ -200,8 +200,8 @@ def drive_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drive_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current files as documents: name, type and logical path, a link, and metadata as JSON. Of several
-    paths the first by text counts; a file without a path down from a root stands by its name."""
-    order = F.struct("modified_at", "fetched_at", "is_folder", "parent_ids")
+    paths the first by text counts, of rows with equal times the largest; a file without a path down from a root stands by its name."""
+    order = F.struct("modified_at", "fetched_at", "is_folder", "parent_ids", "name", "mime_type", "drive_id", "size_bytes", "shortcut_target_id")
     fields = ("name", "mime_type", "is_folder", "parent_ids", "drive_id", "size_bytes", "shortcut_target_id")
     i = table(spark, sf_dir, "drive_items").where("connection_id IS NOT NULL AND item_id IS NOT NULL")
     i = i.groupBy("connection_id", "item_id").agg(F.max_by(F.struct(*fields), order).alias("r")).select("connection_id", "item_id", "r.*").where("NOT coalesce(is_folder, false)")
@@ -233,7 +233,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY connection_id, item_id ORDER BY
 WITH RECURSIVE {STORE['folder_paths'].split('WITH RECURSIVE', 1)[1].rsplit('SELECT connection_id, item_id, depth, path FROM (', 1)[0]}
 , named AS (SELECT s.c, s.x, s.path, string_agg(coalesce(k.name, ''), '/' ORDER BY s.at) AS text FROM step s JOIN cur k ON k.connection_id = s.c AND k.item_id = s.id GROUP BY s.c, s.x, s.depth, s.path),
 best AS (SELECT c, x, min(text) AS text FROM named WHERE length(text) <= 8000 GROUP BY 1, 2),
-f AS (SELECT cur.*, coalesce(text, name, '') AS way FROM cur LEFT JOIN best ON c = connection_id AND x = item_id WHERE NOT coalesce(is_folder, false) AND connection_id IS NOT NULL AND item_id IS NOT NULL)
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY connection_id, item_id ORDER BY modified_at DESC NULLS LAST, fetched_at DESC NULLS LAST, name DESC NULLS LAST, mime_type DESC NULLS LAST, drive_id DESC NULLS LAST, size_bytes DESC NULLS LAST, shortcut_target_id DESC NULLS LAST) AS n FROM drive_items) WHERE n = 1),
+f AS (SELECT one.*, coalesce(text, name, '') AS way FROM one LEFT JOIN best ON c = connection_id AND x = item_id WHERE NOT coalesce(is_folder, false) AND connection_id IS NOT NULL AND item_id IS NOT NULL)
 SELECT connection_id, item_id, concat_ws(chr(10), 'Name: ' || coalesce(name, ''), 'Type: ' || mime_type, 'Path: ' || way, CASE WHEN shortcut_target_id IS NOT NULL THEN 'Shortcut: indexed without following its target' END) AS content,
 'https://drive.google.com/open?id=' || url_encode(item_id) AS url,
 '{{' || concat_ws(',', '"file_id":' || CAST(to_json(item_id) AS VARCHAR), '"logical_path":' || CAST(to_json(way) AS VARCHAR), '"parent_ids":' || CASE WHEN parent_ids IS NULL THEN '[]' ELSE CAST(to_json(parent_ids) AS VARCHAR) END,
