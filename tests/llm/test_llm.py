@@ -77,6 +77,31 @@ def test_quotas_fill_dry_sources(spark):
     assert {r.source: r.quota for r in mixing.quotas(supply, t, 1000).collect()} == {"a": 200, "b": 400, "c": 400}
 
 
+def test_last_pass_skips_what_is_too_long(spark):
+    rng, sizes = random.Random(4), {}
+    for source, n in (("even", 40), ("long", 40), ("tiny", 3)):
+        sizes[source] = [rng.choice((5, 9, 700 if source == "long" else 11)) for _ in range(n)]
+    quota = {"even": 3 * sum(sizes["even"]) // 2, "long": 150, "tiny": 4}
+    rows = []
+    for source, own in sizes.items():
+        before = 0
+        for i, n in enumerate(own):
+            full = min(2, quota[source] // sum(own))
+            rows.append((source, len(rows), i, 0, n, before, quota[source], sum(own), 2, full))
+            before += n
+    docs = spark.createDataFrame(rows, "source string, doc_id long, h long, bucket long, n_tokens long, before long, quota long, whole long, max_repeats int, full long")
+    got = {}
+    for r in mixing.last_pass(docs).collect():
+        got.setdefault(r.source, []).append((r.start, r.doc_id, r.n_tokens, r.copy))
+    for source, own in sizes.items():
+        taken = sorted(got.get(source, []))
+        assert len({x[1] for x in taken}) == len(taken)
+        open_ = quota[source] - taken[0][3] * sum(own)
+        assert abs(open_ - sum(x[2] for x in taken)) <= 5  # the shortest text has five tokens
+        assert all(a[0] + a[2] == b[0] for a, b in zip(taken, taken[1:]))  # no gaps
+    assert sum(x[2] > 100 for x in got["long"]) == 0
+
+
 # --- near duplicates ----------------------------------------------------------------------------
 def edited(words, rng, share):
     return " ".join(rng.choice(("new", "other", str(rng.random()))) if rng.random() < share else w for w in words)

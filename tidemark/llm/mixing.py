@@ -3,7 +3,9 @@
 Sizes are tokens of a public tokenizer. Each source may give each document at most
 ``max_repeats`` times. Its quota is its share of the wanted total; a source that cannot fill its
 quota even with all repeats gives all it has, and what is missing goes to the other sources in
-proportion to their shares. The last document of a source is taken if half of it fits. The shares really reached are reported.
+proportion to their shares. In a source's last pass a document too long for what is left is skipped
+for later ones that fit, so a share misses its target by at most half of the shortest document left
+or by what no later document fits into. The shares really reached are reported.
 
 The order of the mix comes from a schedule of equal-token slots: slot ``k`` is the point
 ``frac((k + 1) / golden ratio)`` mapped through the cumulative weights. The slots of one source
@@ -63,6 +65,26 @@ def quotas(supply: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     return q.drop("room", "ratio", "level", "dry")
 
 
+def last_pass(docs: DataFrame) -> DataFrame:
+    """(source, doc_id, copy, start, n_tokens): what each source gives after its ``full`` whole passes.
+
+    Documents follow each other while they fit. What is left behind the first that does not goes to
+    later ones, in order, and the shortest one not taken comes last if half of it fits.
+    """
+    shown = ["source", "doc_id", F.col("full").alias("copy"), "start", "n_tokens"]
+    rest = docs.where("full < max_repeats").withColumn("open", F.col("quota") - F.col("full") * F.col("whole")).withColumn("fits", F.col("before") + F.col("n_tokens") <= F.col("open"))
+    head = rest.where("fits").withColumn("start", F.col("full") * F.col("whole") + F.col("before")).select(*shown)
+    gaps = rest.groupBy("source").agg((F.first("open") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("n_tokens"))), F.lit(0))).alias("gap"))
+    later = rest.where("NOT fits").drop("before").join(gaps, "source").where("n_tokens <= gap")
+    later = running_sum(later, ["source"], "bucket", [F.col("h"), F.col("doc_id")], F.col("n_tokens"), "before").where("before + n_tokens <= gap")
+    later = later.withColumn("start", F.col("quota") - F.col("gap") + F.col("before")).select(*shown)
+    taken = stage(head.unionByName(later), "taken")
+    used = taken.groupBy("source").agg(F.sum("n_tokens").alias("used"))
+    left = rest.join(taken.select("doc_id"), "doc_id", "left_anti").groupBy("source").agg(F.min(F.struct("n_tokens", "h", "doc_id")).alias("d"), *[F.first(c).alias(c) for c in ("open", "quota", "full")])
+    left = left.join(used, "source", "left").withColumn("gap", F.col("open") - F.coalesce("used", F.lit(0))).select("source", "d.*", "full", "gap", (F.col("quota") - F.col("gap")).alias("start"))
+    return taken.unionByName(left.where("n_tokens / 2 <= gap").select(*shown))
+
+
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = 2048, seed: int = 7, bucket_tokens: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
     """The mixed corpus and its report.
 
@@ -79,8 +101,9 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     docs = docs.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("whole") / bucket_tokens)))
     docs = docs.withColumn("bucket", F.floor((F.shiftright("h", 32) + F.lit(1 << 31)) * F.col("buckets") / F.lit(1 << 32)))
     docs = running_sum(docs, ["source"], "bucket", [F.col("h"), F.col("doc_id")], F.col("n_tokens"), "before")
-    copies = docs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.least(F.col("max_repeats").cast("long") - 1, F.floor((F.col("quota") - 1) / F.col("whole"))))))
-    copies = copies.withColumn("start", F.col("copy") * F.col("whole") + F.col("before")).where("start + n_tokens / 2 <= quota")
+    docs = stage(docs.withColumn("full", F.least(F.col("max_repeats").cast("long"), F.floor(F.col("quota") / F.col("whole")))), "ordered")
+    passes = docs.where("full > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))
+    copies = passes.select("source", "doc_id", "copy", (F.col("copy") * F.col("whole") + F.col("before")).alias("start"), "n_tokens").unionByName(last_pass(docs))
     blocks = copies.select("source", F.floor(F.col("start") / block_tokens).alias("rank"), "doc_id", F.col("copy").cast("int").alias("copy"), "n_tokens")
 
     # slots: golden-ratio points through the cumulative quotas, ranked per source. A point falls
