@@ -4,7 +4,7 @@ Items with one usable parent form chains. Their links are combined block by bloc
 disjoint-set forests (the weight is the number of links to the set's root; a link whose parent's
 root is the child itself closes a loop). Only roots that have a parent in another block go on to
 the next, smaller level, until every set has its top: an item without parents, or one with several
-(a junction). Paths are then written down the parent index of each block and put together level by
+(a junction). Only folders take part; files hang on to their folder's way at the end. Paths are then written down the parent index of each block and put together level by
 level. Junctions, few by nature, are expanded along their links, each way visiting none twice.
 
 Blocks hold at most ``block_rows`` links of one connection, so a connection with a third of all
