@@ -194,6 +194,20 @@ def test_empty_tables_have_no_groups(spark):
     assert near_duplicates.near_groups(empty, "id", "text").collect() == [] and near_duplicates.near_pairs(empty, "id", "text").collect() == []
 
 
+@pytest.mark.parametrize("most", [65_536, 16])
+def test_pairs_of_frequent_shingles_are_whole(spark, monkeypatch, most):
+    """No pair is lost, also where every shingle is frequent or has to be spread over blocks."""
+    monkeypatch.setattr(near_duplicates, "GROUP_ROWS", most, raising=False)
+    rng = random.Random(6)
+    base = [f"v{i}" for i in range(45)]
+    texts = [(f"d{n}", edited(base, rng, 0.1)) for n in range(150)]
+    hot = [f"h{i} i{i} j{i} k{i}" for i in range(40)]
+    texts += [(f"s{n}", " ".join(rng.sample(hot, rng.randint(8, 16)))) for n in range(300)]
+    df = spark.createDataFrame(texts, "id string, text string")
+    got = {(r.a, r.b) for r in near_duplicates.near_pairs(df, "id", "text", min_words=30, shingle=3, threshold=0.5).collect()}
+    assert got == jaccard_pairs(texts, 3, 0.5, 30)
+
+
 def test_segments_frequent_in_a_batch_are_spread():
     doc, s, key = np.arange(10), np.array([7] * 8 + [8, 9], dtype=np.uint64), np.arange(100, 110)
     batch = near_duplicates._salted(doc, s, key, 4)

@@ -1,27 +1,25 @@
-"""Groups of texts that share most of their shingles, by a join of parity sketches.
+"""Groups of texts that share most of their shingles, by an exact join of prefixes.
 
 1. Rows with equal text form one class; all later work is on classes, copies are never paired
    inside the join.
-2. The shingles of a class are hashed into segments; each segment is the XOR of its shingles'
-   hashes. A shingle that only one of two texts has changes exactly one segment, so two texts
-   with symmetric difference d keep at least K - d of K segments, and equal segments meet in a
-   join (pigeonhole). K grows with the number of shingles in bands of factor two; every class
-   takes part in its own band and in the one below, so each pair that can reach the threshold of
-   0.5 or more meets in one band.
-3. Segments shared by more than ``group_rows`` classes (phrases that many texts use) say little
-   alone: the frequent segments of a text are combined with the next ``ahead`` of its own band, so
-   that two of them have to agree, and the combinations meet in the next of ``rounds`` joins. A
-   text's only frequent segment, which has nothing to be combined with, the segments of a text that
-   has few others (one of a large family of near copies), and whatever is still frequent after the
-   last round is compared in blocks.
-4. Two more parity sketches per class, of 512 and 1,024 bits, bound the symmetric difference from
-   below by their Hamming distances; candidates beyond the largest difference that the threshold
-   allows are dropped, by the short sketch first. Only the rest is verified on the texts themselves.
-
-Every candidate pair is checked and no partners are capped. The segment join is a randomised filter
-for texts that differ in many places: measured recall is in the README. ``exact`` swaps the segments
-for the shingles themselves, of which each text brings the first n - ceil(threshold * n) + 1 in one
-common order, and compares all frequent ones in blocks: every pair is found, at a higher price.
+2. Shingles are put in one order, the rare ones first. Frequencies are counted over all texts in
+   2^22 buckets; they decide how much work there is, never which pairs are found.
+3. Two texts of n and m shingles that reach the threshold t share at least t / (1 + t) * (n + m) of
+   them, and all of these stand at or behind the first common one. So at place i of a text of n
+   shingles only partners of up to (n - i) * (1 + t) / t - n shingles can be met for the first time;
+   places that reach no partner of t * n shingles are left out. The rest, about half of the shingles
+   at 0.5, meets in a join that pairs every two rows whose reaches hold the other's size.
+4. A row brings a parity sketch of two to four bits a shingle (a shingle flips one bit). The Hamming
+   distance of two sketches, the longer one folded, never exceeds the symmetric difference, so pairs
+   beyond the largest difference that the threshold allows are dropped before they are written.
+5. The order is handled in ``rounds`` parts, one after the other, so that only a part of the rows is on
+   disk at once. Shingles of more than ``GROUP_ROWS`` classes are compared in blocks over many tasks.
+6. What is left is verified on the texts themselves.
+
+Every pair is found and nothing is capped. Where many texts share their rarest shingles the number of
+compared pairs grows with the square of the texts that do; figures are in the README. ``exact=False``
+takes XOR segments in place of the shingles (:func:`candidates`): less to compare, but a filter that
+loses some pairs of texts that differ in many places.
 
 Defined results: null and empty texts and texts of fewer than ``min_words`` words belong to no
 class; a null id is left out; rows repeated under one id count once (under several texts the id
@@ -35,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,6 +52,12 @@ SHORT = 8
 #: Up to so many short sketches (76 bytes each) go to every executor; beyond, they are joined by shuffles.
 BROADCAST_ROWS = 500_000
 _WORDS = [f"s{i}" for i in range(SHORT)]
+#: Buckets in which shingles are counted.
+BUCKETS = 1 << 22
+#: Classes with one shingle that a single task compares; more are spread in blocks of a quarter of that.
+GROUP_ROWS = 65_536
+#: Pairs that are looked at together.
+_PAIRS = 1 << 19
 #: Stands for the key of a text where a segment is known to be frequent.
 MARK = np.int64(-(1 << 63))
 
@@ -278,6 +283,211 @@ def _in_blocks(asks: DataFrame, held: DataFrame, threshold: float, block_rows: i
     return both.groupBy("sig", "i", "j").applyInArrow(_block_pairs(threshold, sketch is not None), "a long, b long")
 
 
+def shingle_levels(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Eighths of powers of two of the number of texts with a shingle, by bucket; one byte a bucket reaches the driver's table."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BUCKETS, dtype=np.int32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, _STEP):
+                _, h = shingle_hashes(batch.column(0).slice(at, _STEP).to_pylist(), shingle)
+                np.add.at(seen, (h >> np.uint64(42)).astype(np.int64), np.int32(1))
+        some = np.flatnonzero(seen > 1)  # what a task saw once hardly moves the order
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some].astype(np.int64))], ["bucket", "n"])
+
+    sums = texts.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.round(8 * F.log2(F.sum("n") + 1)).cast("int").alias("level"))
+    sums = sums.toArrow()  # at most one row a bucket
+    levels = np.zeros(BUCKETS, dtype=np.uint8)
+    levels[sums.column(0).to_numpy()] = np.minimum(sums.column(1).to_numpy(), 255)
+    return levels
+
+
+def reaches(doc: np.ndarray, h: np.ndarray, size: np.ndarray, levels: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, shingle, reach) of the places at which a text can meet a partner for the first
+    time; the reach is the largest size of such a partner."""
+    rank = (levels[(h >> np.uint64(42)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (_mix(h, 31) >> np.uint64(8))
+    order = np.lexsort((rank, doc))
+    doc, rank = doc[order], rank[order]
+    begin, n = np.r_[0, np.cumsum(size)[:-1]], size[doc]
+    left = n - (np.arange(len(doc)) - begin[doc])
+    reach = np.floor(left * (1 + threshold) / threshold - n + 1e-6).astype(np.int64)
+    keep = reach >= threshold * n - 1e-6
+    return doc[keep], rank[keep], reach[keep]
+
+
+def _sketch_words(n: np.ndarray) -> np.ndarray:
+    """Words of the sketch of a text of n shingles: two to four bits a shingle, a power of two."""
+    return (1 << np.ceil(np.log2(np.clip(n, 32, 32 * WIDE) / 32)).astype(np.int64)).astype(np.int64)
+
+
+def _prefix_rows(k: int, shared, threshold: float, part: int, parts: int):
+    """(sig, nl, k1, sketch) of one part of the shingles; nl holds the size of the text and the reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _STEP):
+                rows = batch.slice(at, _STEP)
+                key = rows.column(0).to_numpy(zero_copy_only=False)
+                doc, h = shingle_hashes(rows.column(1).to_pylist(), k)
+                size = np.bincount(doc, minlength=len(key))
+                whole, words = parity_sketch(doc, h, len(key), WIDE), _sketch_words(size)
+                sketch = np.empty(len(key), dtype=object)
+                for w in np.unique(words):
+                    own = np.flatnonzero(words == w)
+                    sketch[own] = [x.tobytes() for x in np.bitwise_xor.reduce(whole[own].reshape(len(own), -1, w), 1)]
+                doc, sig, reach = reaches(doc, h, size, shared.value, threshold)
+                mine = np.flatnonzero(sig % np.uint64(parts) == part)
+                doc, sig, reach = doc[mine], sig[mine], reach[mine]
+                nl = size[doc] << 32 | reach
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(nl), pa.array(key[doc]), pa.array(sketch, pa.binary()).take(pa.array(doc))], ["sig", "nl", "k1", "sketch"])
+
+    return run
+
+
+class _Held:
+    """Sketches of rows, at their own width and folded to half of it."""
+
+    def __init__(self, sketch: pa.Array, n: np.ndarray):
+        lengths = pc.binary_length(sketch).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = np.frombuffer(b"".join(sketch.to_pylist()), dtype=np.uint64)
+        begin = np.r_[0, np.cumsum(lengths)[:-1]] >> 3
+        self.words, self.n, self.of = lengths >> 3, n, {}
+        for w in np.unique(self.words):
+            at = np.flatnonzero(self.words == w)
+            own = flat[begin[at, None] + np.arange(w)]
+            self._put(int(w), at, own)
+            if w > 1:
+                self._put(int(w) // 2, at, own[:, : w // 2] ^ own[:, w // 2 :])
+
+    def _put(self, w: int, at: np.ndarray, sketches: np.ndarray) -> None:
+        place, held = self.of.get(w, (np.full(len(self.n), -1, dtype=np.int64), np.empty((0, w), np.uint64)))
+        place[at] = len(held) + np.arange(len(at))
+        self.of[w] = place, np.concatenate([held, sketches])
+
+    def near(self, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+        """Which pairs the sketches leave room for; x are the smaller texts."""
+        room = (self.n[x] + self.n[y]) * (1 - threshold) / (1 + threshold) + 1e-9
+        out = np.zeros(len(x), dtype=bool)
+        for w in np.unique(self.words[x]):
+            place, held = self.of[int(w)]
+            at = np.flatnonzero(self.words[x] == w)
+            out[at] = np.bitwise_count(held[place[x[at]]] ^ held[place[y[at]]]).sum(1, dtype=np.int32) <= room[at]
+        return out
+
+
+def _reach_pairs(sig: np.ndarray, nl: np.ndarray, key: np.ndarray, sketch: pa.Array, threshold: float, of: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of the pairs of rows, sorted by sig and nl, that reach each other and whose sketches leave
+    room; ``of`` gives the rows' block and the two blocks of which pairs are wanted."""
+    if len(sig) < 2:
+        return
+    n, reach, held = nl >> 32, nl & 0xFFFFFFFF, None
+    group = np.cumsum(np.r_[0, sig[1:] != sig[:-1]]) << 32
+    first = np.arange(1, len(sig) + 1)
+    count = np.maximum(np.searchsorted(group | n, group | reach, side="right") - first, 0)
+    for rows in np.split(np.arange(len(sig)), np.searchsorted(np.cumsum(count), np.arange(_PAIRS, count.sum(), _PAIRS))):
+        c = count[rows]
+        x = np.repeat(rows, c)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c) + first[x]
+        ok = reach[y] >= n[x]
+        if of is not None and of[1] != of[2]:
+            ok &= of[0][x] != of[0][y]
+        x, y = x[ok], y[ok]
+        if len(x):
+            held = held or _Held(sketch, n)
+            ok = held.near(x, y, threshold) & (key[x] != key[y])
+            yield key[x[ok]], key[y[ok]]
+
+
+_MET = "kind byte, a long, b long, nl long, sketch binary"
+
+
+def _meet_prefixes(threshold: float, most: int):
+    """Over rows (sig, nl, k1, sketch) sorted by sig and nl: pairs (kind 0: a, b), and the rows of
+    shingles of more than ``most`` classes as they are (kind 1: a = k1, b = sig)."""
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        sig, nl, key = (t.column(i).to_numpy() for i in range(3))
+        got = list(_reach_pairs(sig, nl, key, t.column(3).combine_chunks(), threshold))
+        if got:
+            a, b = (np.concatenate(x) for x in zip(*got))
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(both), np.int8)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.nulls(len(both), pa.int64()), pa.nulls(len(both), pa.binary())], names)
+
+    def many(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for b in t.combine_chunks().to_batches():
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(b.num_rows, np.int8)), b.column(2), b.column(0), b.column(1), b.column(3)], names)
+
+    names = ["kind", "a", "b", "nl", "sketch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []  # rows of the last shingle so far
+        held, big = 0, None
+        for batch in batches:
+            sig = batch.column(0).to_numpy(zero_copy_only=False)
+            if big is not None:
+                n = int(np.searchsorted(sig, big, side="right"))
+                yield from many(pa.Table.from_batches([batch.slice(0, n)]))
+                batch, sig = batch.slice(n), sig[n:]
+                if not len(sig):
+                    continue
+                big = None
+            edge = int(np.searchsorted(sig, sig[-1], side="left")) if len(sig) else 0
+            if kept and len(sig) and kept[-1].column(0)[0].as_py() != sig[0] and not edge:
+                yield from pairs(pa.Table.from_batches(kept))
+                kept, held = [], 0
+            elif edge:
+                yield from pairs(pa.Table.from_batches([*kept, batch.slice(0, edge)]))
+                kept, held = [], 0
+            if batch.num_rows > edge:
+                kept.append(batch.slice(edge))
+                held += batch.num_rows - edge
+            if held > most:
+                big = kept[-1].column(0)[0].as_py()
+                yield from many(pa.Table.from_batches(kept))
+                kept, held = [], 0
+        if kept:
+            yield from pairs(pa.Table.from_batches(kept))
+
+    return run
+
+
+def _prefix_blocks(rows: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+    """(a, b) within shingles of many classes, whose rows (sig, nl, k1, sketch) are spread over blocks;
+    every two blocks of a shingle meet in one group."""
+    widths = rows.groupBy("sig").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("w"))
+    own = rows.join(widths, "sig").withColumn("own", F.pmod(F.xxhash64("k1", "sig"), F.col("w")).cast("int"))
+    each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
+    each = each.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "nl", "k1", "sketch")
+
+    def meet(data: pa.Table) -> pa.Table:
+        data = data.sort_by("nl")
+        sig, i, j, own, nl, key = (data.column(c).to_numpy() for c in ("sig", "i", "j", "own", "nl", "k1"))
+        got = list(_reach_pairs(sig, nl, key, data.column("sketch").combine_chunks(), threshold, (own, i[0], j[0])))
+        a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*got) if got else ((), ())))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return each.groupBy("sig", "i", "j").applyInArrow(meet, "a long, b long")
+
+
+def exact_candidates(texts: DataFrame, shingle: int, threshold: float, rounds: int) -> DataFrame:
+    """(a, b): classes (by k1) that share a shingle within reach of both and whose sketches leave room:
+    all pairs at or above the threshold are among them."""
+    spark, base = texts.sparkSession, texts.select("k1", "text")
+    shared = spark.sparkContext.broadcast(shingle_levels(base, shingle))
+    found = None
+    for part in range(rounds):
+        rows = base.mapInArrow(_prefix_rows(shingle, shared, threshold, part, rounds), "sig long, nl long, k1 long, sketch binary")
+        met = stage(rows.repartition("sig").sortWithinPartitions("sig", "nl").mapInArrow(_meet_prefixes(threshold, GROUP_ROWS), _MET), "met")
+        spark.sparkContext._jvm.System.gc()  # rows of this part go from the disk before the next are written
+        pairs = met.where("kind = 0").select("a", "b")
+        big = met.where("kind = 1")
+        if not big.isEmpty():
+            big = big.select(F.col("b").alias("sig"), "nl", F.col("a").alias("k1"), "sketch")
+            pairs = pairs.unionByName(stage(_prefix_blocks(big, threshold, max(1, GROUP_ROWS // 4)), "blocks"))
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.distinct()
+
+
 def candidates(texts: DataFrame, shingle: int, threshold: float, density: float, cuts: int, group_rows: int, rounds: int, ahead: int = 2, exact: bool = False, block_rows: int = 512) -> DataFrame:
     """(a, b): classes (by k1) whose segments meet and whose sketches allow the threshold."""
     base = texts.select("k1", "text")
@@ -342,11 +552,12 @@ def candidates(texts: DataFrame, shingle: int, threshold: float, density: float,
     return both.select("a", "b", "an", "bn", "aw", "bw").mapInArrow(bound, "a long, b long")
 
 
-def similar_classes(texts: DataFrame, shingle: int = 5, threshold: float = 0.8, density: float = 0.4, cuts: int = 2, group_rows: int = 32, rounds: int = 3, exact: bool = False) -> DataFrame:
+def similar_classes(texts: DataFrame, shingle: int = 5, threshold: float = 0.8, density: float = 0.4, cuts: int = 2, group_rows: int = 32, rounds: int = 3, exact: bool = True) -> DataFrame:
     """(k1, k2, l1, l2, similarity): pairs of classes at or above the threshold, verified on the texts."""
     if threshold < 0.5:
         raise ValueError("bands of factor two hold pairs of similarity 0.5 and more")
-    pairs = stage(candidates(texts, shingle, threshold, density, cuts, group_rows, rounds, exact=exact), "pairs")
+    pairs = exact_candidates(texts, shingle, threshold, rounds) if exact else candidates(texts, shingle, threshold, density, cuts, group_rows, rounds)
+    pairs = stage(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))).distinct()
     text = stage(texts.join(wanted, "k1", "left_semi"), "paired")
     left = pairs.join(text.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("text").alias("at")), "a")
