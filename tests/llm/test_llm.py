@@ -208,6 +208,35 @@ def test_pairs_of_frequent_shingles_are_whole(spark, monkeypatch, most):
     assert got == jaccard_pairs(texts, 3, 0.5, 30)
 
 
+def test_only_near_pairs_are_written(spark, monkeypatch):
+    """What large tables write grows with the near pairs, not with all pairs that share a shingle."""
+    monkeypatch.setattr(near_duplicates, "BROADCAST_ROWS", 0)
+    written, stage = {}, near_duplicates.stage
+
+    def counted(df, label):
+        out = stage(df, label)
+        written[label] = written.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_duplicates, "stage", counted)
+    rng = random.Random(9)
+    hot = [" ".join(f"h{i}x{j}" for j in range(12)) for i in range(30)]
+    texts = [(f"s{n}", " ".join([rng.choice(hot), *(f"o{n}x{j}" for j in range(30)), rng.choice(hot)])) for n in range(250)]
+    df = spark.createDataFrame(texts, "id string, text string")
+    got = {(r.a, r.b) for r in near_duplicates.near_pairs(df, "id", "text", min_words=30, shingle=3, threshold=0.5).collect()}
+    assert got == jaccard_pairs(texts, 3, 0.5, 30) and written["met"] < 100
+
+
+def test_pairs_come_once_and_without_a_shuffle(spark):
+    base = " ".join(f"w{i}" for i in range(50))
+    rows = [("a", base), ("a", base + " x"), ("b", base), ("b", base + " x"), ("c", base), ("c", base + " y"), ("d", base + " x"), ("e", base)]
+    pairs = near_duplicates.near_pairs(spark.createDataFrame(rows, "id string, text string"), "id", "text", hubs=1)
+    got = [(r.a, r.b) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and {("a", x) for x in "bcde"} <= set(got) and ("a", "a") not in got
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan.startswith("Aggregate")  # all pairs of all copies were sorted out by one shuffle
+
+
 def test_segments_frequent_in_a_batch_are_spread():
     doc, s, key = np.arange(10), np.array([7] * 8 + [8, 9], dtype=np.uint64), np.arange(100, 110)
     batch = near_duplicates._salted(doc, s, key, 4)

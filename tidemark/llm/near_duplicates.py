@@ -600,15 +600,23 @@ def near_pairs(rows: DataFrame, key: str, text: str, min_words: int = 5, hubs: i
     salted = members.join(large, ["k1", "k2"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     least = lambda df, *by: df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("r") <= hubs)
     heads = least(least(salted, "k1", "k2", "salt"), "k1", "k2").select("k1", "k2", "id", F.lit(True).alias("hub"))
-    marked = members.join(large.withColumn("large", F.lit(True)), ["k1", "k2"], "left").join(heads, ["k1", "k2", "id"], "left")
-    m = stage(marked.select("id", "k1", "k2", (F.col("large").isNull() | F.col("hub").isNotNull()).alias("hub")), "marked")
-    to = lambda df: df.select(F.col("id").alias("other"), F.col("k1").alias("l1"), F.col("k2").alias("l2"))
-    links = links.select("k1", "k2", "l1", "l2")
-    hub, rest = m.where("hub"), m.where("NOT hub")
-    linked = links.join(hub, ["k1", "k2"]).join(to(m), ["l1", "l2"]).unionByName(links.join(rest, ["k1", "k2"]).join(to(hub), ["l1", "l2"])).select("id", "other")
-    equal = hub.join(m.select("k1", "k2", F.col("id").alias("other")), ["k1", "k2"]).select("id", "other")
-    every = linked.unionByName(equal).where("id <> other")
-    return every.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    several = members.groupBy("id").agg((F.count("*") > 1).alias("several"))  # ids under more than one text
+    marked = members.join(large.withColumn("large", F.lit(True)), ["k1", "k2"], "left").join(heads, ["k1", "k2", "id"], "left").join(several, "id")
+    m = stage(marked.select("id", "k1", "k2", (F.col("large").isNull() | F.col("hub").isNotNull()).alias("hub"), "several"), "marked")
+    links = stage(links.select("k1", "k2", "l1", "l2"), "links")
+
+    def every(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs of an id of ``left`` and one of ``right``, each once a pair of classes."""
+        to = right.select(F.col("id").alias("other"), F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("hub").alias("too"))
+        linked = links.join(left, ["k1", "k2"]).join(to, ["l1", "l2"]).where("hub OR too")
+        equal = left.where("hub").join(to.withColumnsRenamed({"l1": "k1", "l2": "k2"}), ["k1", "k2"]).where("id < other OR NOT too")
+        both = linked.select("id", "other").unionByName(equal.select("id", "other")).where("id <> other")
+        return both.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+
+    one, more = m.where("NOT several"), m.where("several")
+    # only ids under several texts can meet twice: all other pairs are written without a shuffle
+    again = every(more, m).unionByName(every(one, more))
+    return every(one, one).unionByName(again.distinct())
 
 
 def near_classes(rows: DataFrame, key: str, text: str, min_words: int = 5, **options) -> DataFrame:
