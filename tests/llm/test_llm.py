@@ -488,6 +488,48 @@ def test_topics_decide_the_subjects(spark, data, monkeypatch):
     assert got and len(got & flat) < 0.5 * len(got)
 
 
+def test_topics_have_settled(spark, data, monkeypatch):
+    """One more pass over all documents hardly moves the topics any further."""
+    fit, seen = subjects.topic_model, []
+    monkeypatch.setattr(subjects, "topic_model", lambda *a: seen.append((a, fit(*a))) or seen[-1][1])
+    d, labels, areas = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "subject_labels", "subjects"))
+    assert subjects.document_subjects(d, labels, areas).count() > 0
+    (docs, _, *rest, _), topics = seen[0]
+    again = fit(docs, topics, *rest, 1)
+    assert 0.5 * np.abs(again / again.sum(0) - topics / topics.sum(0)).sum(0).max() < 0.02
+
+
+def test_settled_topics_keep_the_words_of_rare_languages(spark):
+    """Labels are given in the frequent language mostly; the rare one has wordings of its own in every document."""
+    rng = random.Random(6)
+    areas, docs, truth = ["art", "law", "sea", "tax"], [], {}
+    words = {(s, lang): [f"{s}{lang}{chr(97 + i)}" for i in range(20)] for s in areas for lang in ("en", "xx")}
+    usual = {lang: [f"usual{lang}{chr(97 + i)}" for i in range(30)] for lang in ("en", "xx")}
+    for i in range(600):
+        lang, mine = "xx" if i % 6 == 0 else "en", rng.choice(areas)
+        sentences = [rng.choices(words[mine, lang], k=3) + rng.choices(usual[lang], k=3) for _ in range(4)] + [rng.choices(usual[lang], k=6) for _ in range(6)]
+        docs.append((i, ". ".join(map(" ".join, sentences)), lang if i % 50 else None))
+        truth[i] = {mine}
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, s) for i in range(120) for s in truth[i]], "doc_id long, subject string")
+    found = {}
+    for r in subjects.document_subjects(d, labels, spark.createDataFrame([(s, None) for s in areas], "subject string, description string"), common=0.9, modelled=0.9).collect():
+        found.setdefault(r.doc_id, set()).add(r.subject)
+    rare = [i for i in range(120, 600) if i % 6 == 0]
+    assert sum(found.get(i, set()) == truth[i] for i in rare) >= 0.95 * len(rare)
+    assert sum(found.get(i, set()) == truth[i] for i in range(120, 600)) >= 0.95 * 480
+
+
+def test_vocabularies_of_languages():
+    langs = ["en"] * 60 + ["de"] * 30 + [None] * 5 + ["fr"] + ["es"] * 4
+    words = subjects.vocabularies(langs, np.arange(100) != 99)
+    assert len(set(words[:60])) == 1 and len(set(words[60:90])) == 1 and words[0] != words[60]
+    assert set(words[90:96]) == {words[0]} and words[96] == words[98] != words[0] and words[99] == -1
+    assert set(subjects.vocabularies([None] * 3, np.array([True, True, False]))) == {0, -1}
+    p = subjects._expected(np.full((100, 2), 50.0), words)  # shares of its own in every language
+    assert np.allclose([p[words == w].sum(0) for w in set(words[:99])], 1, atol=0.02)
+
+
 def test_inference_keeps_the_count_of_terms():
     rng = np.random.default_rng(3)
     expected = subjects._expected(rng.gamma(1.0, 1.0, (30, 4)))

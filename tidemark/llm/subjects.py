@@ -4,11 +4,14 @@
    found in at least ``rare`` and at most ``modelled`` of all documents (counted on all of them), and
    up to ``common`` where labelled documents say that they lean to a subject (``lean`` times its usual
    share). There are at most (distinct words of a document) / ``rare`` terms, whatever the corpus holds.
-2. Topics: variational LDA, fitted in ``passes`` passes over all documents. Every pass is a Spark job:
+2. Topics: variational LDA, fitted in passes over all documents until it has settled: no topic moves more
+   than ``SETTLED`` of its terms in the last pass (at most ``passes``). Every pass is a Spark job:
    tasks infer the topics of their documents and sum what each topic takes of each term, the sums
    are added up by term, and the next pass starts from them. One topic starts near the labelled
    documents and the description of each subject, ``background`` others at random; all are free
-   to move, so terms that no label names come in by the company they keep.
+   to move, so terms that no label names come in by the company they keep. A topic holds terms of every
+   language (``lang``) by shares of their own, as in polylingual topic models: with one vocabulary for all, the
+   background turns into the rarer languages in later passes and takes their subject words along.
 3. Topics to subjects: each topic goes to the subject that its top terms (those that it holds far
    more often than the corpus does) stand for in labels and descriptions, or to none.
 4. Documents: the fitted model gives every document its topic proportions, and these its subject
@@ -20,8 +23,9 @@
 Defined results: null, empty and blank texts and texts without terms have no subject; null document
 ids are left out; of rows repeated under one id the longest text counts; labels with null values or
 of unknown subjects are not read and repeated labels count once; without labels only the descriptions
-speak; ties go to the subject first in the alphabet; an empty table gives an empty result; other
-columns are ignored.
+speak; ties go to the subject first in the alphabet; an empty table gives an empty result; without a
+column ``lang``, or where it is null, all terms are one language, as are those of languages with few
+terms and the largest; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +46,8 @@ HEADER = re.compile(r"^(?:From|To|Cc|Von|An|De|À|Para) ?:.*$", re.M)
 ADDRESS = re.compile(r"\S+@\S+")
 #: Sentence ends, also inside quoted values.
 SENTENCE = re.compile(r"(?<=[.!?])[\"'”»)\]]*[,;]?\s+|\n+")
+#: Topics have settled when none moves a larger share of its terms in a pass.
+SETTLED = 0.01
 
 
 def _plain(text: str) -> str:
@@ -49,24 +55,36 @@ def _plain(text: str) -> str:
 
 
 def term_frequencies(documents: DataFrame) -> DataFrame:
-    """(term, df) over all documents, counted in each partition first."""
+    """(term, df, lang) over all documents, counted in each partition first; ``lang`` is the language most
+    of the term's documents are in, null where none of them has one."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: dict[str | None, Counter] = {}
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "df"])
+            rows = [(t, lang, n) for lang, counter in seen.items() for t, n in counter.items()]
             seen.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["term", "lang", "df"])
 
         for batch in batches:
-            for value in batch.column(0):
-                seen.update(set(WORD.findall(_plain(value.as_py()))))
-            if len(seen) > 500_000:
+            for value, lang in zip(batch.column(0), batch.column(1).to_pylist()):
+                seen.setdefault(lang, Counter()).update(set(WORD.findall(_plain(value.as_py()))))
+            if sum(map(len, seen.values())) > 500_000:
                 yield flush()
         yield flush()
 
-    return documents.select("text").mapInArrow(count, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
+    each = documents.select("text", lang.alias("lang")).mapInArrow(count, "term string, lang string, df long").groupBy("term", "lang").agg(F.sum("df").alias("df"))
+    return each.groupBy("term").agg(F.sum("df").alias("df"), F.max(F.when(F.col("lang").isNotNull(), F.struct("df", "lang")))["lang"].alias("lang"))
+
+
+def vocabularies(langs: list[str | None], used: np.ndarray, few: float = 0.02) -> np.ndarray:
+    """The number of each term's language, -1 for terms that are not used; those without a language and of
+    languages with less than ``few`` of the used terms go with the largest."""
+    known, number = np.unique([lang or "" for lang in langs], return_inverse=True)
+    size = np.bincount(number[used], minlength=len(known)) * (known != "")
+    small = (size < max(few * used.sum(), 1))[number]
+    return np.where(used, np.where(small, size.argmax(), number), -1)
 
 
 def encoded(documents: DataFrame, terms: list[str]) -> DataFrame:
@@ -99,9 +117,24 @@ def _digamma(x: np.ndarray) -> np.ndarray:
     return np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y / 252)) - low
 
 
-def _expected(topics: np.ndarray) -> np.ndarray:
-    """exp(E[log p(term | topic)]) of Dirichlet parameters (term, topic)."""
-    return np.exp(_digamma(topics) - _digamma(topics.sum(0, keepdims=True))).astype(np.float32)
+def _totals(topics: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Sums of each topic in the vocabulary of each term."""
+    total = np.zeros((words.max(initial=0) + 1, topics.shape[1]))
+    np.add.at(total, words[words >= 0], topics[words >= 0])
+    total[total == 0] = 1
+    return total[np.maximum(words, 0)]
+
+
+def _expected(topics: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+    """exp(E[log p(term | topic)]) of Dirichlet parameters (term, topic), one Dirichlet for each vocabulary."""
+    words = np.zeros(len(topics), dtype=np.int64) if words is None else words
+    return np.exp(_digamma(topics) - _digamma(_totals(topics, words))).astype(np.float32)
+
+
+def moved(before: np.ndarray, after: np.ndarray, words: np.ndarray) -> float:
+    """The largest share of its terms that a topic holds in ``after`` but not in ``before``."""
+    a, b = before[words >= 0], after[words >= 0]
+    return float(0.5 * np.abs(b / b.sum(0) - a / a.sum(0)).sum(0).max())
 
 
 def infer(ids: np.ndarray, doc: np.ndarray, n: int, expected: np.ndarray, alpha: float, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,14 +164,14 @@ def _tokens(part: pa.RecordBatch, column: int, used: np.ndarray) -> tuple[np.nda
     return ids[at], doc[at], at
 
 
-def topic_model(docs: DataFrame, start: np.ndarray, prior: np.ndarray, used: np.ndarray, alpha: float, passes: int) -> np.ndarray:
-    """Dirichlet parameters (term, topic) after ``passes`` passes from ``start``; (terms * topics) numbers
-    reach the driver in each, whatever the corpus holds."""
+def topic_model(docs: DataFrame, start: np.ndarray, prior: np.ndarray, words: np.ndarray, alpha: float, passes: int) -> np.ndarray:
+    """Dirichlet parameters (term, topic) that have settled from ``start``, after ``passes`` passes at most;
+    (terms * topics) numbers reach the driver in each, whatever the corpus holds."""
     spark, (terms, k) = docs.sparkSession, start.shape
     columns = [f"t{i}" for i in range(k)]
     topics = start
     for _ in range(passes):
-        model = spark.sparkContext.broadcast((_expected(topics), used))
+        model = spark.sparkContext.broadcast((_expected(topics, words), words >= 0))
 
         def collect(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             total = np.zeros((terms, k))
@@ -156,8 +189,11 @@ def topic_model(docs: DataFrame, start: np.ndarray, prior: np.ndarray, used: np.
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(total[some, i]) for i in range(k))], ["term", *columns])
 
         sums = docs.select("ids").mapInArrow(collect, f"term int, {', '.join(f'{c} double' for c in columns)}").groupBy("term").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
-        topics = prior.copy()
+        before, topics = topics, prior.copy()
         topics[sums["term"].to_numpy()] += sums[columns].to_numpy()
+        model.unpersist()
+        if moved(before, topics, words) <= SETTLED:
+            break
     return topics
 
 
@@ -210,10 +246,10 @@ def subjects_of_topics(topics: np.ndarray, df: np.ndarray, seen: np.ndarray, top
     return np.asarray(out)
 
 
-def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rare: float = 0.0005, common: float = 0.15, modelled: float = 0.05, lean: float = 3.0, background: int = 2, passes: int = 1, alpha: float = 0.05, eta: float = 0.02, trust: float = 10.0, proportion: float = 0.1, share: float = 0.25, sentences: int = 2, seed: int = 1) -> DataFrame:
+def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rare: float = 0.0005, common: float = 0.15, modelled: float = 0.05, lean: float = 3.0, background: int = 2, passes: int = 100, alpha: float = 0.05, eta: float = 0.02, trust: float = 10.0, proportion: float = 0.1, share: float = 0.25, sentences: int = 2, seed: int = 1) -> DataFrame:
     """(doc_id, subject): the subject areas each document is about."""
     spark = documents.sparkSession
-    texts = documents.where("doc_id IS NOT NULL AND trim(text) <> ''").select("doc_id", "text")
+    texts = documents.where("doc_id IS NOT NULL AND trim(text) <> ''").select("doc_id", "text", *(["lang"] if "lang" in documents.columns else []))
     n = texts.count()
     counts = term_frequencies(texts).where(F.col("df").between(max(3, rare * n), max(3, common * n))).orderBy("df", "term").collect()
     terms, df = [r.term for r in counts], np.asarray([r.df for r in counts], dtype=np.float64)
@@ -227,12 +263,15 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     lift = (seen + usual) / (seen.sum(1, keepdims=True) + 1) / np.maximum(usual, 1e-9)
     prior[:, : len(names)] += trust * seen * (lift > 1.5)
     used = (df <= modelled * n) | ((seen.sum(1) >= 5) & (lift.max(1, initial=0) >= lean))
-    topics = topic_model(docs, start, prior, used, alpha, passes)
+    words = vocabularies([r.lang for r in counts], used)
+    if not used.any():
+        return docs.select("doc_id", F.lit("").alias("subject")).limit(0)
+    topics = topic_model(docs, start, prior, words, alpha, passes)
     of_topic = np.zeros((topics.shape[1], len(names)), dtype=np.float32)
     for k, subject in enumerate(subjects_of_topics(topics, df, seen)):
         if subject >= 0:
             of_topic[k, subject] = 1
-    shared = spark.sparkContext.broadcast((_expected(topics), of_topic, used))
+    shared = spark.sparkContext.broadcast((_expected(topics, words), of_topic, used))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expected, of_topic, used = shared.value
