@@ -530,6 +530,32 @@ def test_vocabularies_of_languages():
     assert np.allclose([p[words == w].sum(0) for w in set(words[:99])], 1, atol=0.02)
 
 
+def test_topics_settle_in_few_passes(spark, monkeypatch):
+    rng, pick = random.Random(3), np.random.default_rng(3)
+    words = {s: ["".join(rng.choices("abcdefgh", k=5)) for _ in range(60)] for s in ("art", "sea", "law")}
+    docs = [(i, " ".join(rng.choices([w for s in words.values() for w in s], k=40) + rng.choices(words[("art", "sea", "law")[i % 3]], k=8)), int(pick.integers(3))) for i in range(600)]
+    moved, n = subjects.moved, []
+    monkeypatch.setattr(subjects, "moved", lambda *a: n.append(moved(*a)) or n[-1])
+    d = spark.createDataFrame(docs, "doc_id long, text string, n long")
+    labels = spark.createDataFrame([(i, ("art", "sea", "law")[i % 3]) for i in range(60)], "doc_id long, subject string")
+    areas = spark.createDataFrame([(s, None) for s in words], "subject string, description string")
+    subjects.document_subjects(d, labels, areas, common=0.9, modelled=0.9).collect()
+    assert n[-1] <= subjects.SETTLED
+    assert len(n) <= 7  # 10 when every pass began where the last one ended
+
+
+def test_spelled_words_and_sentences():
+    odd = ['Ab c. "Def’s ghi!" x_yz 12ab½ É²t\n\nΣΑΣ٣kl—mn', "", "S D\x01 end.", "a@b.com says: 'stop.'), go on?\tYes..  no\n. D"]
+    odd += ["".join(random.Random(i).choices("abcDéßİ½²٣’— _1.!?\"')»,;\n\t", k=60)) for i in range(300)]
+    odd += [" ".join(f"abc{chr(0x2600 + i)}def" for i in range(80))]  # many kinds of what parts words
+    end = re.compile(r"(?<=[.!?])[\"'”»)\]]*[,;]?\s+|\n+")
+    plain = [[subjects.WORD.findall(s) for s in end.split(subjects._plain(t))] for t in odd]
+    texts = " ".join(t.decode() for t in subjects._spelled(odd, sentences=True)).split("D")
+    assert len(texts) == len(odd)
+    got = [[[w for w in s.split() if len(w) > 2] for s in t.split("S")] for t in texts]
+    assert [[s for s in t if s] for t in got] == [[s for s in t if s] for t in plain]
+
+
 def test_inference_keeps_the_count_of_terms():
     rng = np.random.default_rng(3)
     expected = subjects._expected(rng.gamma(1.0, 1.0, (30, 4)))

@@ -33,9 +33,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,33 +46,80 @@ from tidemark.session import stage, table
 WORD = re.compile(r"[^\W\d_]{3,}")
 HEADER = re.compile(r"^(?:From|To|Cc|Von|An|De|À|Para) ?:.*$", re.M)
 ADDRESS = re.compile(r"\S+@\S+")
-#: Sentence ends, also inside quoted values.
-SENTENCE = re.compile(r"(?<=[.!?])[\"'”»)\]]*[,;]?\s+|\n+")
+#: Sentence ends, also inside quoted values: line ends, or a mark, what closes and white space.
+SENTENCE = re.compile(r"[.!?\n](?:(?<=\n)\n*|[\"'”»)\]]*[,;]?\s+)")
+#: What parts words becomes a blank: bytes by table, characters beyond ASCII one by one.
+LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
+NO_LETTER = re.compile(r"[\W\d]")
 #: Topics have settled when none moves a larger share of its terms in a pass.
 SETTLED = 0.01
+#: From the second pass on topics go on this much further than a pass moves them, to settle in fewer.
+BEYOND = 0.5
+#: A document's topics have settled when a round moves a smaller share of its terms; most take 2 to 5 of at most ``ROUNDS``.
+STILL, ROUNDS = 0.001, 12
 
 
 def _plain(text: str) -> str:
     return ADDRESS.sub(" ", HEADER.sub("", text)).lower() if "@" in text else text.lower()
 
 
+def _spelled(texts: list[str], sentences: bool = False) -> list[bytes]:
+    """The runs of letters of all texts (UTF-8), ``b"D"`` between texts and, if wanted, ``b"S"`` between sentences;
+    lower-cased texts have no capitals of ASCII."""
+    text = " D ".join(map(_plain, texts))
+    if sentences:
+        text = SENTENCE.sub(" S ", text)
+    if not text.isascii():
+        others = [c for c in set(text) if c > "\x7f" and NO_LETTER.match(c)]
+        if len(others) > 50:
+            text = NO_LETTER.sub(" ", text)
+        else:
+            for c in others:
+                text = text.replace(c, " ")
+    return text.encode().translate(LETTERS).split()
+
+
+def _pieces(batch: pa.RecordBatch, texts: pa.Array, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows in order, by about ``most`` bytes of text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def term_frequencies(documents: DataFrame) -> DataFrame:
     """(term, df, lang) over all documents, counted in each partition first; ``lang`` is the language most
     of the term's documents are in, null where none of them has one."""
 
+    class Numbers(dict):
+        def __missing__(self, key):
+            self[key] = n = len(self)
+            return n
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str | None, Counter] = {}
+        words, langs, seen = Numbers(), Numbers(), Counter()
 
         def flush() -> pa.RecordBatch:
-            rows = [(t, lang, n) for lang, counter in seen.items() for t, n in counter.items()]
-            seen.clear()
+            texts, names = [w.decode() for w in words], list(langs)
+            rows = [(texts[key & 0xFFFFFFFF], names[key >> 32], n) for key, n in seen.items() if len(texts[key & 0xFFFFFFFF]) > 2]
+            for known in (words, langs, seen):
+                known.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["term", "lang", "df"])
 
         for batch in batches:
-            for value, lang in zip(batch.column(0), batch.column(1).to_pylist()):
-                seen.setdefault(lang, Counter()).update(set(WORD.findall(_plain(value.as_py()))))
-            if sum(map(len, seen.values())) > 500_000:
-                yield flush()
+            for part in _pieces(batch, batch.column(0)):
+                spelled = _spelled(part.column(0).to_pylist())
+                number = np.fromiter(map(words.__getitem__, spelled), np.int64, len(spelled))
+                doc = np.cumsum(number == words[b"D"])
+                each = np.unique(doc << 32 | number)
+                lang = np.fromiter(map(langs.__getitem__, part.column(1).to_pylist()), np.int64, part.num_rows)[each >> 32]
+                key, n = np.unique(lang << 32 | each & 0xFFFFFFFF, return_counts=True)
+                for k, c in zip(key.tolist(), n.tolist()):
+                    seen[k] += c
+                if len(seen) > 500_000:
+                    yield flush()
         yield flush()
 
     lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
@@ -89,22 +138,19 @@ def vocabularies(langs: list[str | None], used: np.ndarray, few: float = 0.02) -
 
 def encoded(documents: DataFrame, terms: list[str]) -> DataFrame:
     """(doc_id, ids, sentence): the known terms of each document and the sentence each stands in."""
-    place = documents.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    place = documents.sparkSession.sparkContext.broadcast({t.encode(): i for i, t in enumerate(terms)} | {b"S": -2, b"D": -3})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = place.value.get
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids, sentences, offsets = [], [], [0]
-                for text in part.column(1).to_pylist():
-                    for n, s in enumerate(SENTENCE.split(_plain(text))):
-                        known = [i for i in map(get, WORD.findall(s)) if i is not None]
-                        ids += known
-                        sentences += [n] * len(known)
-                    offsets.append(len(ids))
-                o = pa.array(offsets, pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(o, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(o, pa.array(sentences, pa.int32()))], ["doc_id", "ids", "sentence"])
+            for part in _pieces(batch, batch.column(1)):
+                spelled = _spelled(part.column(1).to_pylist(), sentences=True)
+                ids = np.fromiter(map(get, spelled, repeat(-1)), np.int32, len(spelled))
+                doc, sentence = np.cumsum(ids == -3), np.cumsum(ids < -1)
+                sentence -= np.r_[0, sentence[ids == -3]][doc]
+                at = np.flatnonzero(ids >= 0)
+                o = pa.array(np.r_[0, np.cumsum(np.bincount(doc[at], minlength=part.num_rows))].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(o, pa.array(ids[at])), pa.ListArray.from_arrays(o, pa.array(sentence[at].astype(np.int32)))], ["doc_id", "ids", "sentence"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, sentence array<int>")
 
@@ -137,25 +183,100 @@ def moved(before: np.ndarray, after: np.ndarray, words: np.ndarray) -> float:
     return float(0.5 * np.abs(b / b.sum(0) - a / a.sum(0)).sum(0).max())
 
 
-def infer(ids: np.ndarray, doc: np.ndarray, n: int, expected: np.ndarray, alpha: float, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _padded(own: np.ndarray, begin: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the documents ``own`` those of similar length together: which they are, (document, place) of their terms
+    and which places hold one."""
+    width = np.ceil(2 ** (np.ceil(2 * np.log2(np.maximum(length[own], 4))) / 2)).astype(np.int64)
+    for w in np.unique(width):
+        same = own[width == w]
+        for some in np.array_split(same, -(-len(same) * w // (1 << 16))):
+            inside = np.arange(w) < length[some, None]
+            yield some, np.where(inside, begin[some, None] + np.arange(w), 0), inside
+
+
+def _weights(gamma: np.ndarray) -> np.ndarray:
+    """exp(digamma) of positive numbers, to a millionth: recurrence up to 3, then the asymptotic series."""
+    x = gamma + 3
+    y = 1 / (x * x)
+    return x * np.exp(-0.5 / x - y * (1 / 12 - y * (1 / 120 - y / 252)) - ((3 * gamma + 6) * gamma + 2) / (gamma * (gamma + 1) * (gamma + 2)))
+
+
+def proportions(begin: np.ndarray, term: np.ndarray, count: np.ndarray, expected: np.ndarray, alpha: float, rounds: int) -> np.ndarray:
+    """exp(E[log p(topic | document)]) (document, topic) of documents that begin at ``begin`` and end where the next
+    does. A document is settled when a round moves less than ``STILL`` of its terms; the few that are not after
+    some rounds go on together."""
+    k, length = expected.shape[1], np.diff(np.r_[begin, len(term)])
+    total = np.add.reduceat(count, begin)
+    gamma = np.repeat(np.float32(alpha) + total[:, None] / np.float32(k), k, axis=1)
+    theta = np.empty_like(gamma)
+    todo, done = np.arange(len(begin)), 0
+    while len(todo) and done < rounds:
+        left, some = [], min(5 if done == 0 else rounds, rounds - done)
+        for own, at, inside in _padded(todo, begin, length):
+            w, c, g, least = expected[term[at]], np.where(inside, count[at], np.float32(0)), gamma[own], STILL * total[own]
+            for _ in range(some):
+                now = _weights(g)
+                share = c / np.maximum((w @ now[:, :, None])[:, :, 0], 1e-30)
+                before, g = g, alpha + now * (share[:, None] @ w)[:, 0]
+                moves = np.abs(g - before).max(1) > least
+                if not moves.any():
+                    break
+            theta[own], gamma[own] = now, g
+            left.append(own[moves])
+        todo, done = np.concatenate(left), done + some
+    return theta
+
+
+def taken(begin: np.ndarray, term: np.ndarray, count: np.ndarray, expected: np.ndarray, alpha: float, rounds: int) -> np.ndarray:
+    """What each topic takes of the count of each term of the documents."""
+    theta = proportions(begin, term, count, expected, alpha, rounds)
+    part = expected[term] * np.repeat(theta, np.diff(np.r_[begin, len(term)]), axis=0)
+    part *= count[:, None] / np.maximum(part.sum(1, keepdims=True), 1e-30)
+    return part
+
+
+def infer(ids: np.ndarray, doc: np.ndarray, n: int, expected: np.ndarray, alpha: float, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Topic parameters (document, topic) of ``n`` documents, and their distinct (document, term) with
     the share of each topic in it times its weight, 1 + log(count), so that no long text rules a topic."""
     k = expected.shape[1]
-    pair, count = np.unique(doc.astype(np.int64) << 32 | ids, return_counts=True)
-    d, term = pair >> 32, pair & 0xFFFFFFFF
+    d, term, count = _counted(ids, doc)
     gamma = np.full((n, k), alpha, dtype=np.float32)
-    if not len(pair):
+    if not len(d):
         return gamma, d, term, np.zeros((0, k), dtype=np.float32)
     begin = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-    own, weight, count = d[begin], expected[term], (1 + np.log(count.astype(np.float32)))[:, None]
-    gamma[own] += np.add.reduceat(count, begin, axis=0) / k
-    for _ in range(rounds):
-        part = weight * np.exp(_digamma(gamma))[d]
-        part *= count / np.maximum(part.sum(1, keepdims=True), 1e-30)
-        gamma[own] = alpha + np.add.reduceat(part, begin, axis=0)
+    part = taken(begin, term, count, expected, alpha, rounds)
+    gamma[d[begin]] += np.add.reduceat(part, begin, axis=0)
     return gamma, d, term, part
 
 
+def _counted(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (document, term) and their weights."""
+    pair, count = np.unique(doc.astype(np.int64) << 32 | ids, return_counts=True)
+    return pair >> 32, pair & 0xFFFFFFFF, 1 + np.log(count.astype(np.float32))
+
+
+def counted(docs: DataFrame, used: np.ndarray) -> DataFrame:
+    """(terms, weights): the distinct used terms of every document that has some, as int32, and their weights, as float32."""
+    known = docs.sparkSession.sparkContext.broadcast(used)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                ids, doc, _ = _tokens(batch.slice(at, 1024), 0, known.value)
+                d, term, count = _counted(ids, doc)
+                o = pa.py_buffer((4 * np.r_[np.flatnonzero(np.diff(d, prepend=-1)), len(d)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(o) // 4 - 1, [None, o, pa.py_buffer(x)]) for x in (term.astype(np.int32), count)], ["terms", "weights"])
+
+    return docs.select("ids").mapInArrow(run, "terms binary, weights binary")
+
+
+def _numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a binary column, and where each row begins."""
+    column = column.cast(pa.binary())
+    o = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 4
+    return np.frombuffer(column.buffers()[2], kind)[o[0] : o[-1]], (o[:-1] - o[0]).astype(np.int64)
+
+
 def _tokens(part: pa.RecordBatch, column: int, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Term and document of every place with a used term, and which places these are."""
     ids = part.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -168,33 +289,33 @@ def topic_model(docs: DataFrame, start: np.ndarray, prior: np.ndarray, words: np
     """Dirichlet parameters (term, topic) that have settled from ``start``, after ``passes`` passes at most;
     (terms * topics) numbers reach the driver in each, whatever the corpus holds."""
     spark, (terms, k) = docs.sparkSession, start.shape
+    docs = stage(counted(docs, words >= 0), "counted")
     columns = [f"t{i}" for i in range(k)]
-    topics = start
-    for _ in range(passes):
-        model = spark.sparkContext.broadcast((_expected(topics, words), words >= 0))
+    topics = after = start
+    for i in range(passes):
+        model = spark.sparkContext.broadcast(_expected(topics, words))
 
         def collect(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((terms, k))
+            total, expected = np.zeros((terms, k)), model.value
             for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    part = batch.slice(at, 1024)
-                    ids, doc, _ = _tokens(part, 0, model.value[1])
-                    _, _, term, took = infer(ids, doc, part.num_rows, model.value[0], alpha)
-                    if not len(term):
-                        continue
+                for at in range(0, batch.num_rows, 16384):
+                    part = batch.slice(at, 16384)
+                    (term, begin), (count, _) = _numbers(part.column(0), np.int32), _numbers(part.column(1), np.float32)
+                    took = taken(begin, term, count, expected, alpha, ROUNDS)
                     order = np.argsort(term, kind="stable")
-                    begin = np.flatnonzero(np.r_[True, np.diff(term[order]) > 0])
-                    total[term[order[begin]]] += np.add.reduceat(took[order], begin, axis=0)
+                    first = np.flatnonzero(np.diff(term[order], prepend=-1))
+                    total[term[order[first]]] += np.add.reduceat(took[order], first, axis=0)
             some = np.flatnonzero(total.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(total[some, i]) for i in range(k))], ["term", *columns])
 
-        sums = docs.select("ids").mapInArrow(collect, f"term int, {', '.join(f'{c} double' for c in columns)}").groupBy("term").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
-        before, topics = topics, prior.copy()
-        topics[sums["term"].to_numpy()] += sums[columns].to_numpy()
+        sums = docs.mapInArrow(collect, f"term int, {', '.join(f'{c} double' for c in columns)}").groupBy("term").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
+        after = prior.copy()
+        after[sums["term"].to_numpy()] += sums[columns].to_numpy()
         model.unpersist()
-        if moved(before, topics, words) <= SETTLED:
+        if moved(topics, after, words) <= SETTLED:
             break
-    return topics
+        topics = np.maximum(after + BEYOND * (after - topics), prior) if i else after
+    return after
 
 
 def labelled_terms(docs: DataFrame, labels: DataFrame, subjects: DataFrame, terms: list[str]) -> tuple[list[str], np.ndarray]:
@@ -286,11 +407,11 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
                 about /= np.maximum(about.sum(1, keepdims=True), 1e-9)
                 # each place of a term has the term's topics in this document
                 took = (took / np.maximum(took.sum(1, keepdims=True), 1e-30)) @ of_topic
-                place, key = np.unique(doc * (1 << 24) + sentence, return_inverse=True)
+                place = doc * (1 << 24) + sentence  # in order
+                begin = np.flatnonzero(np.diff(place, prepend=-1))
                 mass = took[np.searchsorted(d << 32 | term, doc << 32 | ids)]
-                order = np.argsort(key, kind="stable")
-                mass = np.add.reduceat(mass[order], np.flatnonzero(np.r_[True, np.diff(key[order]) > 0]), axis=0) if len(key) else mass
-                owner, top, ok = place >> 24, mass.argmax(1), mass.max(1, initial=0) > 0.5
+                mass = np.add.reduceat(mass, begin, axis=0) if len(begin) else mass
+                owner, top, ok = place[begin] >> 24, mass.argmax(1), mass.max(1, initial=0) > 0.5
                 held = np.bincount(owner[ok] * s + top[ok], minlength=part.num_rows * s).reshape(-1, s)
                 good = (about >= proportion) & (held >= sentences) & (held >= share * held.sum(1, keepdims=True))
                 rank = np.argsort(np.argsort(-np.where(good, about, 0), axis=1, kind="stable"), axis=1)
